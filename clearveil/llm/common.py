@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Raw text bytes that one group of documents should hold (see ``group_count``).
 GROUP_BYTES = 4 << 20
+#: Groups of a small corpus; messages between groups and buckets grow with the square of it.
+LEAST_GROUPS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +61,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def group_count(docs: DataFrame, text: str, spark: SparkSession, target: int = GROUP_BYTES) -> int:
+def group_count(docs: DataFrame, text: str, target: int = GROUP_BYTES) -> int:
     """How many groups keep each near ``target`` bytes of text: follows the data, never a constant."""
     total = docs.agg(F.sum(F.octet_length(F.col(text))).alias("b")).first()["b"] or 0
-    return max(2 * shuffle_partitions(spark), math.ceil(total / target))
+    return max(LEAST_GROUPS, math.ceil(total / target))
 
 
 def in_groups(docs: DataFrame, groups: int, *cols: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_count, in_groups, shuffle_partitions, written
+from .common import group_count, in_groups, written
 from .kernel import SLICE_BYTES, Mail, Texts, U, lower_ascii, slices, word_hashes
 
 ORDER = 5
@@ -281,8 +281,8 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order
     Without training rows every count is 0 and the trie is empty: bytes are equally likely.
     """
     spark = docs.sparkSession
-    groups = group_count(docs, text, spark)
-    buckets = max(64, shuffle_partitions(spark), groups // 2)
+    groups = group_count(docs, text)
+    buckets = max(64, groups // 2)
     held = F.coalesce(fold(F.col(doc_id)) == HELD_OUT, F.lit(False))
     base = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), held.alias("_held"))
     by_group = in_groups(base, groups, "_id", "_text", "_held").groupBy("_grp")

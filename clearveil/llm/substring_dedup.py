@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_count, in_groups, shuffle_partitions
+from .common import group_count, in_groups
 from .kernel import SLICE_BYTES, Mail, Texts, U, mix, one_document, rolling, slices, word_hashes
 
 WINDOW = 13
@@ -152,10 +152,9 @@ def mark_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     words.  Rows with equal ids are the same document to each other.  Texts shorter than the window
     are never changed.  Other columns of ``docs`` are not read, so their names cannot clash.
     """
-    spark = docs.sparkSession
     block = (window + 1) // 2
-    groups = group_count(docs, text, spark)
-    buckets = max(64, shuffle_partitions(spark), groups // 2)
+    groups = group_count(docs, text)
+    buckets = max(64, groups // 2)
     extra = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
     base = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), *extra)
     corpus = in_groups(base, groups, "_id", "_text", *[f"_keep{i}" for i in range(len(keep))])
