@@ -75,3 +75,8 @@ def in_groups(docs: DataFrame, groups: int, *cols: str) -> DataFrame:
 def fits(df: DataFrame, row_bytes: int, limit: int = 48 << 20) -> bool:
     """Whether a table counted now is small enough to broadcast."""
     return df.count() * row_bytes <= limit
+
+
+def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str, row_bytes: int) -> DataFrame:
+    """An equi-join that sends ``right`` to all executors only if its rows, counted now, are few enough."""
+    return left.join(F.broadcast(right) if fits(right, row_bytes) else right, on, how)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits, written
+from .common import joined, written
 
 SPAN = 10
 GRAM = 4
@@ -50,10 +50,6 @@ def _fingerprints(words: DataFrame, key: str, span: int, gram: int) -> DataFrame
     return out.select(key, F.shiftright("_f", 32).alias("_fp"), (F.lit(4294967295) - F.col("_f").bitwiseAND(F.lit(4294967295))).cast("int").alias("_pos"))
 
 
-def _join(left: DataFrame, right: DataFrame, on: str, how: str, row_bytes: int) -> DataFrame:
-    return left.join(F.broadcast(right) if fits(right, row_bytes) else right, on, how)
-
-
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, span: int = SPAN, gram: int = GRAM, with_row: bool = False) -> DataFrame:
     """Hit words of every document row and the items they come from.
 
@@ -73,19 +69,19 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     windows = written(item_words.select("_item", F.least(n, F.lit(span)).alias("_len"), F.explode(F.transform(starts, lambda s: F.array_join(F.slice("_w", s, span), " "))).alias("_win")).distinct(), "decontaminate-windows")
 
     probes = written(_fingerprints(item_words, "_item", span, gram).select("_fp").distinct(), "decontaminate-fingerprints")
-    hits = _join(_fingerprints(words, "_row", span, gram), probes, "_fp", "left_semi", 64).select("_row", F.lit(span).alias("_len"), F.col("_pos"))
+    hits = joined(_fingerprints(words, "_row", span, gram), probes, "_fp", "left_semi", 64).select("_row", F.lit(span).alias("_len"), F.col("_pos"))
     for short in sorted(r[0] for r in windows.where(F.col("_len") < span).select("_len").distinct().collect()):
         wanted = windows.where(F.col("_len") == short).select(F.xxhash64(F.split("_win", " ")).alias("_fp")).distinct()
         found = words.where(F.size("_w") >= short).select("_row", F.inline(_all_grams(short)))
-        hits = hits.unionByName(_join(found, wanted, "_fp", "left_semi", 64).select("_row", F.lit(short).alias("_len"), "_pos"))
+        hits = hits.unionByName(joined(found, wanted, "_fp", "left_semi", 64).select("_row", F.lit(short).alias("_len"), "_pos"))
     hits = written(hits.groupBy("_row", "_len").agg(F.collect_set("_pos").alias("_at")), "decontaminate-hits")
 
     # a hit k-gram lies in the windows that start up to span - k places before it
     back = F.when(F.col("_len") == span, F.lit(span - gram)).otherwise(F.lit(0))
-    near = _join(words, hits, "_row", "inner", 4096)
+    near = joined(words, hits, "_row", "inner", 4096)
     near = near.select("_row", "_w", "_len", F.explode(F.array_distinct(F.flatten(F.transform("_at", lambda p: F.sequence(F.greatest(F.lit(1), p - back), F.least(p, F.size("_w") - F.col("_len") + F.lit(1))))))).alias("_start"))
     near = near.select("_row", "_len", "_start", F.array_join(F.slice("_w", F.col("_start"), F.col("_len")), " ").alias("_win"))
-    found = _join(near, windows, "_win", "inner", 512).where(near["_len"] == windows["_len"]).select("_row", near["_len"].alias("_len"), "_start", "_item")
+    found = joined(near, windows, "_win", "inner", 512).where(near["_len"] == windows["_len"]).select("_row", near["_len"].alias("_len"), "_start", "_item")
     found = found.groupBy("_row").agg(F.collect_set(F.struct("_start", "_len")).alias("_at"), F.collect_set("_item").alias("_items"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("_at", lambda s: F.sequence(s["_start"], s["_start"] + s["_len"] - F.lit(1))))))
     found = found.select("_row", covered.cast("long").alias("_hit"), F.array_sort("_items").alias("_items"))
@@ -103,4 +99,4 @@ def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     hit = contaminated(docs, items, doc_id, text, item_id, item_text, with_row=True).where("contaminated").select("row_hash").distinct()
     hit = written(hit, "decontaminate-rows").withColumnRenamed("row_hash", "_row_hash")
     marked = docs.withColumn("_row_hash", F.xxhash64(F.col(doc_id).cast("long"), F.col(text)))
-    return _join(marked, hit, "_row_hash", "left_anti", 64).select(*docs.columns)
+    return joined(marked, hit, "_row_hash", "left_anti", 64).select(*docs.columns)

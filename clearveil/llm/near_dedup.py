@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import joined, written
 from .kernel import SLICE_BYTES, U, mix, rolling, slices, word_hashes
 
 SHINGLE = 5
@@ -195,29 +195,32 @@ def weighted_jaccard(a: bytes, aw: bytes, b: bytes, bw: bytes) -> float:
 
 
 def _similar(batches, least: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
     for batch in batches:
         cols = [batch.column(i).to_pylist() for i in range(6)]
-        rows = [(a, b, s) for a, b, x, xw, y, yw in zip(*cols, strict=True) if (s := weighted_jaccard(x, xw, y, yw)) >= least]
-        yield pa.record_batch([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(3)], schema=schema)
+        rows = [(x, y) for x, y, a, aw, b, bw in zip(*cols, strict=True) if weighted_jaccard(a, aw, b, bw) >= least]
+        yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], schema=schema)
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose weighted Jaccard similarity is ``least`` or more."""
-    left = sets.select(F.col("_id").alias("a"), F.col("_set").alias("_sa"), F.col("_count").alias("_ca"))
-    right = sets.select(F.col("_id").alias("b"), F.col("_set").alias("_sb"), F.col("_count").alias("_cb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "_sa", "_ca", "_sb", "_cb")
-    return both.mapInArrow(lambda it: _similar(it, least), "a long, b long, similarity double")
+    """(x, y) of the pairs (a, b, x, y) of texts whose weighted Jaccard similarity is ``least`` or more.
+
+    Pairs go to the sets where a counted size allows it, so that only sets that are compared move.
+    """
+    left = joined(sets.select(F.col("_id").alias("a"), F.col("_set").alias("_sa"), F.col("_count").alias("_ca")), pairs, "a", "inner", 64)
+    right = joined(sets.select(F.col("_id").alias("b"), F.col("_set").alias("_sb"), F.col("_count").alias("_cb")), pairs.select("a", "b"), "b", "inner", 64)
+    both = left.join(right, ["a", "b"]).select("x", "y", "_sa", "_ca", "_sb", "_cb")
+    return both.mapInArrow(lambda it: _similar(it, least), "x long, y long").distinct()
 
 
-def components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """(_id, _class) for every end of an edge: the smallest id reachable.  ``edges`` has a and b.
+def components(edges: DataFrame) -> DataFrame:
+    """(_id, _class) for every end of an edge: the smallest id reachable.  ``edges`` has x and y.
 
     Each round takes the smallest label among neighbours and then that label's own label; rounds
     grow with the logarithm of the longest path.  Hot nodes are pre-aggregated before the exchange
     and their joins are split by adaptive execution.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = written(edges.select(F.col("x").alias("a"), F.col("y").alias("b")).union(edges.select("y", "x")).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_id"), F.least("a", "_m").alias("_class")), "labels")
     while True:
         near = both.join(labels.select(F.col("_id").alias("b"), "_class"), "b").groupBy(F.col("a").alias("_id")).agg(F.min("_class").alias("_near"))
@@ -245,7 +248,7 @@ def _mixed(member: DataFrame, found: DataFrame) -> DataFrame:
 def _all_across(left: DataFrame) -> DataFrame:
     x = left.select(F.col("_rep").alias("_x"), "_band", F.col("_class").alias("_cx"))
     y = left.select(F.col("_rep").alias("_y"), "_band", F.col("_class").alias("_cy"))
-    return x.join(y, "_band").where("_cx < _cy").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
+    return x.join(y, "_band").where("_cx < _cy").select(F.col("_x").alias("a"), F.col("_y").alias("b"), F.col("_cx").alias("x"), F.col("_cy").alias("y")).distinct()
 
 
 def _pack(table: pa.Table) -> pa.Table:
@@ -272,8 +275,7 @@ _PACKED = ["_band", "_chunk", "_pure", "_reps", "_classes", "_lens", "_cells"]
 
 
 def _block_links(x: list[bytes], y: list[bytes], least: float) -> list[tuple[int, int]]:
-    """Links across classes between two blocks, by one exact matrix product of memberships; for
-    each text and class one link is enough."""
+    """Pairs of classes with a link between two blocks, by one exact matrix product of memberships."""
     ids_x, cls_x, len_x, ids_y, cls_y, len_y = (np.frombuffer(v, np.int64) for v in (*x[:3], *y[:3]))
     cx, cy = np.frombuffer(x[3], np.uint64), np.frombuffer(y[3], np.uint64)
     shared = np.intersect1d(cx, cy)
@@ -296,14 +298,13 @@ def _block_links(x: list[bytes], y: list[bytes], least: float) -> list[tuple[int
     i, j = np.nonzero(alike)
     ok = common[i, j].astype(np.float64) / (len_x[i] + len_y[j] - common[i, j].astype(np.float64)) >= least
     i, j = i[ok], j[ok]
-    _, one = np.unique(np.stack([ids_x[i], cls_y[j]]), axis=1, return_index=True) if len(i) else (None, np.zeros(0, np.int64))
-    return list(zip(ids_x[i[one]].tolist(), ids_y[j[one]].tolist(), strict=True))
+    return sorted(set(zip(cls_x[i].tolist(), cls_y[j].tolist(), strict=True)))
 
 
 def _compare_blocks(batches, least: float):
     for batch in batches:
         rows = [r for v in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True) for r in _block_links(v[:4], v[4:], least)]
-        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
+        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["x", "y"])
 
 
 def _by_blocks(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -319,7 +320,7 @@ def _by_blocks(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     met = x.join(y, "_band").where("x_chunk <= y_chunk and (x_pure is null or y_pure is null or x_pure <> y_pure)")
     met = met.select(*[f"{s}{c}" for s in "xy" for c in _PACKED[3:]])
     met = met.repartition(F.expr("xxhash64(x_reps, y_reps)"))
-    return met.mapInArrow(lambda it: _compare_blocks(it, least), "a long, b long").distinct()
+    return met.mapInArrow(lambda it: _compare_blocks(it, least), "x long, y long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -339,27 +340,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # buckets of two different texts or more
     shared = written(banded.groupBy("_band").agg(F.min("_rep").alias("_pivot"), F.max("_rep").alias("_last")).where("_pivot <> _last").select("_band", "_pivot"), "buckets")
     member = written(banded.join(shared, "_band").select("_rep", "_band", "_pivot"), "members")
-    pairs = written(member.where("_rep <> _pivot").select(F.col("_pivot").alias("a"), F.col("_rep").alias("b")).distinct(), "pairs")
-    wanted = member.select(F.col("_rep").alias("_id")).distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).join(wanted, "_id")
-    # rows that share an id are told apart by what they say; the first is taken
-    sets = written(texts.mapInArrow(lambda it: _shingle_rows(it, size), "_id long, _set binary, _count binary").dropDuplicates(["_id"]), "shingles")
+    pairs = member.where("_rep <> _pivot").select(F.col("_pivot").alias("a"), F.col("_rep").alias("b"), F.col("_pivot").alias("x"), F.col("_rep").alias("y"))
+    pairs = written(pairs.distinct(), "pairs")
     member = member.select("_rep", "_band")
-    edges = written(_checked(pairs, sets, similarity), "links").select("a", "b")
-    found = components(edges)
+    wanted = written(member.select(F.col("_rep").alias("_id")).distinct(), "wanted")
+    texts = joined(docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")), wanted, "_id", "inner", 64)
+    sets = texts.mapInArrow(lambda it: _shingle_rows(it, size), "_id long, _set binary, _count binary")
+    if real.groupBy("_id").count().where("count > 1").limit(1).count():
+        sets = sets.groupBy("_id").agg(F.min(F.struct("_set", "_count")).alias("s")).select("_id", "s._set", "s._count")
+    sets = written(sets, "shingles")
+    found = components(written(_checked(pairs, sets, similarity), "links"))
     left = _mixed(member, found)
     # few pairs across classes for the band's size: compared as pairs; else in blocks
     few = left.where(f"_across <= {_FEW} * _n")
-    more = written(_all_across(few).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = _checked(more, sets, similarity).select("a", "b")
+    more = written(_all_across(few).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    links = _checked(more, sets, similarity)
     many = left.where(f"_across > {_FEW} * _n")
     if many.limit(1).count():
         links = links.unionByName(_by_blocks(many, sets, similarity))
     links = written(links, "links")
-    if links.limit(1).count():
-        found = components(edges.unionByName(links))
+    if links.limit(1).count():  # between classes, which are joined in turn
+        wider = components(links).select(F.col("_id").alias("_class"), F.col("_class").alias("_wider"))
+        all_ = found.select("_id", "_class").union(wider.select("_class", "_class").join(found.select("_id"), F.col("_class") == F.col("_id"), "left_anti"))
+        found = written(all_.join(wider, "_class", "left").select("_id", F.coalesce("_wider", "_class").alias("_class")), "classes")
 
-    classes = written(reps.select("_key1", "_key2", F.col("_rep").alias("_id")).join(found, "_id", "left").select("_key1", "_key2", F.coalesce("_class", "_id").alias("_class")), "classes")
+    classes = written(joined(reps.select("_key1", "_key2", F.col("_rep").alias("_id")), found, "_id", "left", 64).select("_key1", "_key2", F.coalesce("_class", "_id").alias("_class")), "classes")
     out = sigs.select("_id", "_words", F.when(F.col("_words") > 0, F.col("_key1")).alias("_key1"), "_key2").join(classes, ["_key1", "_key2"], "left")
     cls = F.coalesce("_class", "_id")
     return out.select(F.col("_id").alias("doc_id"), cls.alias("class_id"), F.col("_words").alias("n_words"), F.coalesce(F.col("_id") == cls, F.lit(True)).alias("is_kept"))
@@ -369,7 +374,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """The rows of ``docs``, all columns, of each class's smallest id; of repeated rows one."""
     found = near_duplicates(docs, doc_id, text).select("doc_id", "is_kept", "class_id")
     kept = written(found.where("is_kept and doc_id is not null").groupBy("doc_id").count(), "kept")
-    out = docs.join(kept.select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi").select(*docs.columns)
+    out = joined(docs, kept.select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi", 64).select(*docs.columns)
     if kept.where("count > 1").limit(1).count():
         out = out.dropDuplicates([doc_id])
     return out.unionByName(docs.where(F.col(doc_id).isNull()))
