@@ -32,7 +32,7 @@ from .common import group_count, in_groups, written
 from .kernel import SLICE_BYTES, Mail, Texts, U, lower_ascii, slices, word_hashes
 
 ORDER = 5
-MOST = 1 << 20
+MOST = 1 << 19
 FOLDS, HELD_OUT = 7, 2
 #: Never a byte of UTF-8: the end mark.
 END = 0xFF
@@ -253,7 +253,7 @@ def train(texts: DataFrame, *, order: int = ORDER, most: int = MOST) -> Trie:
             while kept.limit(most + 1).count() > most:
                 least *= 2
                 kept = level.where(F.col("n") >= least)
-        rows = kept.toPandas()  # at most ``most`` rows of two numbers
+        rows = kept.toArrow()  # at most ``most`` rows of two numbers
         levels.append((rows["gram"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy()))
     return build(levels)
 

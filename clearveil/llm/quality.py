@@ -219,16 +219,17 @@ def classified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
     spark = docs.sparkSession
     cast = written(votes(docs, doc_id=doc_id, text=text), "votes")
     names = [f"v_{n}" for n in LABELLERS]
-    seen = cast.groupBy(*names).count().toPandas()
-    labels = fit_labels(seen[names].to_numpy(), seen["count"].to_numpy().astype(float))
+    seen = cast.groupBy(*names).count().toArrow()
+    patterns = np.stack([seen[n].to_numpy() for n in names], axis=1)
+    labels = fit_labels(patterns, seen["count"].to_numpy().astype(float))
     # a bounded sample of rows, found by their hash, gives the scorer its texts
     rows = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("_row"), F.col(text).alias("_text")).where(F.octet_length("_text").between(1, train_bytes))
-    picked = rows.orderBy("_row").limit(sample).toPandas()
+    picked = rows.orderBy("_row").limit(sample).toArrow()["_text"]
     v = []
-    for t in slices(pa.array(picked["_text"].tolist(), pa.string())):
+    for t in slices(picked):
         v.append(_votes(t))
     soft = posterior(labels, np.concatenate(v)) if v else np.zeros(0)
-    sent = spark.sparkContext.broadcast((labels, fit_scorer(picked["_text"].tolist(), soft)))
+    sent = spark.sparkContext.broadcast((labels, fit_scorer(picked.to_pylist(), soft)))
     schema = pa.schema([("doc_id", pa.int64()), ("posterior", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_()), *[(n, pa.int32()) for n in names]])
 
     def run(batches):

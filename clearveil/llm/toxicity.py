@@ -128,8 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     picked = [known.where(F.col("_y") == c).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for c in (0, 1)]
     sample = picked[0].unionByName(picked[1])  # 2 * per_class rows at most, so its broadcast is bounded
     texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).where(F.octet_length("_text") <= train_bytes)
-    rows = texts.join(F.broadcast(sample), "_id").dropDuplicates(["_id"]).orderBy("_id").toPandas()
-    return fit(rows["_text"].tolist(), rows["_y"].tolist())
+    rows = texts.join(F.broadcast(sample), "_id").dropDuplicates(["_id"]).orderBy("_id").toArrow()
+    return fit(rows["_text"].to_pylist(), rows["_y"].to_pylist())
 
 
 def _sentences(t: Texts, m: Model):
