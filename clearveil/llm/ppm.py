@@ -29,8 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import group_count, in_groups, written
-from .kernel import SLICE_BYTES, Mail, Texts, U, lower_ascii, slices, word_hashes
+from .kernel import Mail, Texts, U, lower_ascii, slices, word_hashes
 
+#: Smaller than elsewhere: each byte has several numbers of eight bytes here.
+SLICE_BYTES = 1 << 20
 ORDER = 5
 MOST = 1 << 19
 FOLDS, HELD_OUT = 7, 2
