@@ -67,23 +67,15 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 300, rate: float =
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return empty
-    doc, sentence, feature, base_d, base_s = [], [], [], 0, 0
-    for t in slices(pa.array(texts, pa.string())):
-        s, d, _, _, f = _features(t)
-        for row in f:
-            doc.append(d + base_d)
-            sentence.append(s + base_s)
-            feature.append(row)
-        base_d += t.n
-        base_s += (s[-1] + 1) if len(s) else 0
-    doc, sentence, feature = map(np.concatenate, (doc, sentence, feature))
-    real = feature < size
-    doc, sentence, feature = doc[real], sentence[real], feature[real]
-    pairs = np.unique(feature * len(y) + doc)
-    pf, pd = pairs // len(y), pairs % len(y)
+    column = pa.array(texts, pa.string())
+    with_, bad = np.zeros(size), np.zeros(size)
+    for t in slices(column, SLICE_BYTES // 2):  # in how many documents, and bad documents, a feature is
+        _, d, _, _, rows = _features(t)
+        pairs = np.unique((rows * t.n + d)[rows < size])
+        f, d = pairs // t.n, pairs % t.n + t.first
+        with_ += np.bincount(f, minlength=size)
+        bad += np.bincount(f, y[d], size)
     n1, n0 = y.sum(), len(y) - y.sum()
-    with_ = np.bincount(pf, minlength=size).astype(float)
-    bad = np.bincount(pf, y[pd], size)
     rate0, rate1 = (with_ - bad + 0.5) / (n0 + 1), (bad + 0.5) / (n1 + 1)
     pool = with_ / len(y)
     z = (rate1 - rate0) / np.sqrt(np.maximum(pool * (1 - pool), 1e-9) * (1 / n1 + 1 / n0))
@@ -91,8 +83,16 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 300, rate: float =
     if not use.any():
         return empty
     index = np.cumsum(use) - 1
-    keep = use[feature]
-    s, f, d = sentence[keep], index[feature[keep]], doc[keep]
+    doc, sentence, feature, base = [], [], [], 0
+    for t in slices(column, SLICE_BYTES // 2):
+        s, d, _, _, rows = _features(t)
+        for row in rows:
+            keep = np.flatnonzero(np.append(use, False)[row])
+            doc.append(d[keep] + t.first)
+            sentence.append(s[keep] + base)
+            feature.append(index[row[keep]])
+        base += (s[-1] + 1) if len(s) else 0
+    d, s, f = map(np.concatenate, (doc, sentence, feature))
     u = np.unique(s * int(use.sum()) + f)
     at = np.unique(s, return_index=True)
     names, owner = at[0], d[at[1]]
