@@ -224,7 +224,8 @@ def classified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
     labels = fit_labels(patterns, seen["count"].to_numpy().astype(float))
     # a bounded sample of rows, found by their hash, gives the scorer its texts
     rows = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("_row"), F.col(text).alias("_text")).where(F.octet_length("_text").between(1, train_bytes))
-    picked = rows.orderBy("_row").limit(sample).toArrow()["_text"]
+    first = F.broadcast(rows.select("_row").distinct().orderBy("_row").limit(sample))  # ``sample`` numbers at most
+    picked = rows.join(first, "_row").dropDuplicates(["_row"]).orderBy("_row").toArrow()["_text"]
     v = []
     for t in slices(picked):
         v.append(_votes(t))
