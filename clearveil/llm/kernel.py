@@ -6,6 +6,7 @@ documents or over slices of a few megabytes, never over bytes or words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text handled at once; the temporaries take about 40 times this.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _RADIX, _RADIX_W, _RADIX_W2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
 _TABLE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -45,6 +46,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on between tasks, beside the executor."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
+
 class Texts(NamedTuple):
     first: int  # index of the first document in the column
     data: np.ndarray  # uint8

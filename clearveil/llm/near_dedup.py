@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import joined, written
-from .kernel import SLICE_BYTES, U, mix, rolling, slices, word_hashes
+from .kernel import SLICE_BYTES, U, mix, rolling, slices, trim, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -140,6 +140,7 @@ def signatures(docs: np.ndarray, elements: np.ndarray, weights: np.ndarray, n: i
 
 
 def _signed(batches, bands: int, rows: int, size: int, wanted: pa.Schema):
+    trim()
     for batch in batches:
         ids = batch.column(0)
         for t in slices(batch.column(1), SLICE_BYTES):
@@ -172,6 +173,7 @@ def signed(docs: DataFrame, doc_id: str, text: str, *, bands: int = BANDS, rows:
 
 
 def _shingle_rows(batches, size: int):
+    trim()
     schema = pa.schema([("_id", pa.int64()), ("_set", pa.binary()), ("_count", pa.binary())])
     for batch in batches:
         for t in slices(batch.column(1), SLICE_BYTES):
@@ -302,6 +304,7 @@ def _block_links(x: list[bytes], y: list[bytes], least: float) -> list[tuple[int
 
 
 def _compare_blocks(batches, least: float):
+    trim()
     for batch in batches:
         rows = [r for v in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True) for r in _block_links(v[:4], v[4:], least)]
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["x", "y"])

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import shuffle_partitions, written
+from .kernel import trim
 
 CAPACITY = 2048
 GROUPS = 64
@@ -283,6 +284,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *[(n, pa.int64()) for n in names[2:]]])
 
     def run(batches):
+        trim()
         ids = encoder(tokenizer).ids
         end = np.array([end_id], "<u4")
         for batch in batches:
@@ -334,6 +336,7 @@ def packed(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *[(n, pa.int64()) for n in ("start", "length", "ids_crc32", "sequence_id", "offset")]])
 
     def run(batches):
+        trim()
         p = where.value
         for batch in batches:
             length, rank = (batch.column(i).to_numpy() for i in (3, 5))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import group_count, in_groups, written
-from .kernel import Mail, Texts, U, lower_ascii, slices, word_hashes
+from .kernel import U, Mail, Texts, lower_ascii, slices, trim, word_hashes
 
 #: Smaller than elsewhere: each byte has several numbers of eight bytes here.
 SLICE_BYTES = 1 << 20
@@ -221,6 +221,7 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
         return u, np.bincount(inv, c).astype(np.int64)
 
     def run(batches):
+        trim()
         parts, held = [], 0
         for batch in batches:
             for t in slices(batch.column(0), SLICE_BYTES):
@@ -290,6 +291,7 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order
     by_group = in_groups(base, groups, "_id", "_text", "_held").groupBy("_grp")
 
     def ask(table: pa.Table) -> pa.Table:
+        trim()
         grp = table.column("_grp")[0].as_py()
         got, u, inv = _words(table)
         learns = ~table.column("_held").to_numpy().astype(bool)
@@ -319,6 +321,7 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order
     kinds_ = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         out = [[] for _ in names]
         if left.num_rows:
             got, u, inv = _words(left)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .kernel import SLICE_BYTES, Texts, byte_set, lower_ascii, slices, word_hashes
+from .kernel import SLICE_BYTES, Texts, byte_set, lower_ascii, slices, trim, word_hashes
 
 BITS = 14
 SAMPLE = 4000
@@ -201,6 +201,7 @@ def votes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Dat
     schema = pa.schema([("doc_id", pa.int64()), ("_row", pa.int64()), *[(f"v_{n}", pa.int32()) for n in LABELLERS]])
 
     def run(batches):
+        trim()
         for batch in batches:
             for t in slices(batch.column(1), SLICE_BYTES):
                 v = _votes(t).astype(np.int32)
@@ -234,6 +235,7 @@ def classified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
     schema = pa.schema([("doc_id", pa.int64()), ("posterior", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_()), *[(n, pa.int32()) for n in names]])
 
     def run(batches):
+        trim()
         labels, scorer = sent.value
         for batch in batches:
             for t in slices(batch.column(1), SLICE_BYTES):

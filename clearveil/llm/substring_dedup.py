@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import group_count, in_groups
-from .kernel import SLICE_BYTES, Mail, Texts, U, mix, one_document, rolling, slices, word_hashes
+from .kernel import SLICE_BYTES, Mail, Texts, U, mix, one_document, rolling, slices, trim, word_hashes
 
 WINDOW = 13
 REQUEST = "_kind int, _bucket int, _grp int, _hash binary, _ids binary"
@@ -160,11 +160,13 @@ def mark_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     corpus = in_groups(base, groups, "_id", "_text", *[f"_keep{i}" for i in range(len(keep))])
 
     def ask_blocks(table: pa.Table) -> pa.Table:
+        trim()
         grp = table.column("_grp")[0].as_py()
         mail, _, keys = _block_request(_read(table, window, block), buckets)
         return _sent(0, grp, mail, mail.packed(keys), [None] * len(mail.buckets))
 
     def ask_windows(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         if not left.num_rows:
             return _REQUEST.empty_table()
         grp = left.column("_grp")[0].as_py()
@@ -179,6 +181,7 @@ def mark_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     schema += "".join(f", {n} {k}" for n, k in kinds)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         got = _read(left, window, block) if left.num_rows else []
         mail, inv, _ = _block_request(got, buckets)
         hits = mail.replies(*_replied(right, 0), bool)[inv]

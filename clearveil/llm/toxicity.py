@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import SLICE_BYTES, Texts, U, byte_set, lower_ascii, prefix_sums, slices, span_hashes, word_bounds
+from .kernel import SLICE_BYTES, U, Texts, byte_set, lower_ascii, prefix_sums, slices, span_hashes, trim, word_bounds
 
 BITS = 18
 PREFIXES = (4, 5, 6, 7, 8, 10)
@@ -163,6 +163,7 @@ def scored(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str =
     schema = pa.schema(list(zip(names, [pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64()], strict=True)))
 
     def run(batches):
+        trim()
         m = sent.value
         for batch in batches:
             for t in slices(batch.column(1), SLICE_BYTES):
@@ -185,6 +186,7 @@ def without_toxic(docs: DataFrame, model: Model, *, text: str = "text", threshol
     at = docs.columns.index(text)
 
     def run(batches):
+        trim()
         for batch in batches:
             for t in slices(batch.column(at), SLICE_BYTES):
                 d, _, _, p = _sentences(t, sent.value)
@@ -200,6 +202,7 @@ def offending_sentences(docs: DataFrame, model: Model, *, doc_id: str = "doc_id"
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])
 
     def run(batches):
+        trim()
         for batch in batches:
             for t in slices(batch.column(1), SLICE_BYTES):
                 d, a, b, p = _sentences(t, sent.value)
