@@ -66,3 +66,52 @@ def tiling(claims: DataFrame, doc: str, owner: str, start: str, end: str) -> Dat
     marked = marked.withColumn("_new", (~F.col("_t").eqNullSafe(F.lag("_t").over(w))).cast("int")).withColumn("_r", F.sum("_new").over(w))
     out = marked.groupBy("_doc", "_r").agg(F.min("_at").alias("start"), F.max("_to").alias("end"), F.first("_k").alias("kind"), F.size(F.array_distinct(F.flatten(F.collect_list("_o")))).cast("long").alias("owners"))
     return out.select(F.col("_doc").alias(doc), "start", "end", "kind", "owners")
+
+
+def resolved(edges: DataFrame, objects: DataFrame, doc: str) -> DataFrame:
+    """(doc, src, num, gen, state): each reference once, "live", "dangling" (no such object) or "generation" (another one's)."""
+    now = objects.select(doc, "num", F.col("gen").alias("_gen"))
+    got = edges.select(doc, "src", "num", "gen").distinct().join(now, [doc, "num"], "left")
+    state = F.when(F.col("_gen").isNull(), "dangling").when(F.col("_gen") == F.col("gen"), "live").otherwise("generation")
+    return got.select(doc, "src", "num", "gen", state.alias("state"))
+
+
+def tiling_gaps(tiles: DataFrame, sizes: DataFrame, doc: str) -> DataFrame:
+    """(doc, problem) where tiles (start, end) do not cover [0, size) exactly: "begin", "inside", "end", "none"."""
+    w = Window.partitionBy(doc).orderBy("start", "end")
+    t = tiles.select(doc, "start", "end", (F.col("start") != F.lag("end").over(w)).alias("_apart"))
+    g = t.groupBy(doc).agg(F.min("start").alias("_a"), F.max("end").alias("_b"), F.bool_or("_apart").alias("_apart"))
+    found = F.array(
+        F.when(F.col("_a").isNull() & (F.col("size") > 0), "none"), F.when(F.col("_a") != 0, "begin"), F.when(F.col("_apart"), "inside"), F.when(F.col("_b") != F.col("size"), "end")
+    )
+    return sizes.select(doc, "size").join(g, doc, "left").select(doc, F.explode(F.array_compact(found)).alias("problem"))
+
+
+def tree_faults(leaves: DataFrame, nodes: DataFrame, doc: str) -> DataFrame:
+    """(doc, node, fault) of name and number trees: "order" where keys do not strictly increase along
+    the tree, "limits" where a node's limits are not the first and last key below it.
+
+    ``leaves``: doc, tree, seq (place along the tree), key, path (the nodes above, root first);
+    ``nodes``: doc, tree, node, low, high (null for the root).
+    """
+    w = Window.partitionBy(doc, "tree").orderBy("seq")
+    order = leaves.select(doc, "tree", "key", "path", F.lag("key").over(w).alias("_before")).where("_before >= key")
+    order = order.select(doc, F.try_element_at("path", F.lit(-1)).alias("node"), F.lit("order").alias("fault"))
+    below = leaves.select(doc, "tree", F.explode("path").alias("node"), "seq", "key").groupBy(doc, "tree", "node").agg(F.min_by("key", "seq").alias("_low"), F.max_by("key", "seq").alias("_high"))
+    wrong = nodes.where("low is not null or high is not null").join(below, [doc, "tree", "node"], "left").where("not (low <=> _low and high <=> _high)")
+    return order.unionByName(wrong.select(doc, "node", F.lit("limits").alias("fault"))).distinct()
+
+
+def capped(rows: DataFrame, key: list[str], order: list, most: int) -> DataFrame:
+    """The first ``most`` rows of each key, and in ``left_out`` of the last of them how many more there are."""
+    w = Window.partitionBy(*key)
+    n = rows.withColumn("_i", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
+    left = F.when(F.col("_i") == most, F.col("_n") - most).otherwise(0).cast("long")
+    return n.where(F.col("_i") <= most).withColumn("left_out", left).drop("_i", "_n")
+
+
+def revisions_kept(revisions: DataFrame, doc: str, most: int = 50) -> DataFrame:
+    """The first revision and the latest ``most - 1``; ``left_out`` counts the others of the file."""
+    w = Window.partitionBy(doc)
+    n = revisions.withColumn("_last", F.row_number().over(w.orderBy(F.desc("revision")))).withColumn("_n", F.count("*").over(w))
+    return n.where((F.col("_last") < most) | (F.col("_last") == F.col("_n"))).withColumn("left_out", F.greatest(F.lit(0), F.col("_n") - most)).drop("_last", "_n")
