@@ -47,6 +47,33 @@ def _segments(start: np.ndarray, end: np.ndarray, measured: np.ndarray) -> np.nd
     return np.concatenate([[0], np.cumsum(gaps > max(GAP_FACTOR * typical, EXTENT_FACTOR * extent))])
 
 
+def _in_groups(df: DataFrame, key: list[str], order: str, each, schema: str) -> DataFrame:
+    """``each`` over the rows of every key, sorted by ``order``.  Groups are small and many: partitions
+    are read in batches, whole groups are cut out as they come, and only one open group is kept."""
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            held.append(b)
+            k = b[key]
+            begins = np.flatnonzero((k.ne(k.shift()) & ~(k.isna() & k.shift().isna())).any(axis=1).to_numpy()[1:]) + 1
+            if len(held) > 1 and len(b) and not held[0][key].tail(1).reset_index(drop=True).equals(k.head(1).reset_index(drop=True)):
+                begins = np.concatenate([[0], begins])
+            if len(begins):
+                yield whole(pd.concat([*held[:-1], b.iloc[: begins[-1]]], ignore_index=True))
+                held = [b.iloc[begins[-1] :]]
+        if held:
+            yield whole(pd.concat(held, ignore_index=True))
+
+    def whole(rows):
+        k = rows[key]
+        begins = np.flatnonzero((k.ne(k.shift()) & ~(k.isna() & k.shift().isna())).any(axis=1).to_numpy()[1:]) + 1
+        return each(rows, [0, *begins.tolist(), len(rows)] if len(rows) else [0])
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *key).sortWithinPartitions(*key, order).mapInPandas(run, schema)
+
+
 class _Page:
     """Glyphs of one page; ``low`` and ``high`` are their sides along x and y."""
 
@@ -105,19 +132,19 @@ def readings(glyphs: DataFrame, doc: str = "doc_id", page: str = "page") -> Data
     without glyphs has no row.  A call holds one page.
     """
 
-    def read(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("seq", kind="stable")
-        chars = g["char"].to_numpy(object)
-        out = [(r, n, "".join(chars[line])) for r, lines in enumerate(_ten_readings(g, g["width"].iloc[0], g["height"].iloc[0])) for n, line in enumerate(lines)]
-        df = pd.DataFrame(out, columns=["reading", "line", "text"])
-        df.insert(0, "_page", g["_page"].iloc[0])
-        df.insert(0, "_doc", g["_doc"].iloc[0])
-        return df
+    def read(rows: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
+        out, docs, pages = [], rows["_doc"].tolist(), rows["_page"].tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            g = rows.iloc[a:b]
+            chars = g["char"].to_numpy(object)
+            for r, lines in enumerate(_ten_readings(g, g["width"].iloc[0], g["height"].iloc[0])):
+                out += [(docs[a], pages[a], r, n, "".join(chars[line])) for n, line in enumerate(lines)]
+        return pd.DataFrame(out, columns=["_doc", "_page", "reading", "line", "text"])
 
     shown = glyphs.where(F.col("char") != "").where(~F.col("char").rlike(r"\A[\s\x1C-\x1F\x85\p{Z}]+\z"))
     g = shown.select(F.col(doc).alias("_doc"), F.col(page).alias("_page"), "seq", "char", "x0", "y0", "x1", "y1", F.coalesce("vertical", F.lit(False)).alias("vertical"), "width", "height")
     types = {f.name: f.dataType.simpleString() for f in g.schema}
-    got = g.groupBy("_doc", "_page").applyInPandas(read, f"_doc {types['_doc']}, _page {types['_page']}, reading int, line int, text string")
+    got = _in_groups(g, ["_doc", "_page"], "seq", read, f"_doc {types['_doc']}, _page {types['_page']}, reading int, line int, text string")
     return got.select(F.col("_doc").alias(doc), F.col("_page").alias(page), "reading", "line", "text")
 
 
@@ -147,35 +174,30 @@ def covered_images(log: DataFrame, doc: str = "doc_id", page: str = "page") -> D
 def merged_boxes(boxes: DataFrame, by: list[str], order: str) -> DataFrame:
     """Boxes with equal ``by`` that overlap by half of the smaller become one, greedily in ``order``.
 
-    Returns ``by``, x0, y0, x1, y1, approx (of any), n (how many).  One call holds one group, the like boxes of a page.
+    Returns ``by``, x0, y0, x1, y1, approx (of any), n (how many).
     """
 
-    def merge(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable")
-        kept = np.empty((len(g), 4))
-        approx, n, k = np.zeros(len(g), bool), np.zeros(len(g), np.int64), 0
-        area = lambda b: (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
-        for b, rough in zip(g[["x0", "y0", "x1", "y1"]].to_numpy(float), g["approx"].fillna(False).to_numpy(bool), strict=True):
-            have = kept[:k]
-            common = np.clip(np.minimum(have[:, 2:], b[2:]) - np.maximum(have[:, :2], b[:2]), 0, None).prod(1)
-            smaller = np.minimum(area(have), area(b))
-            met = np.flatnonzero((smaller > 0) & (common >= MERGE_OVERLAP * smaller) & (common > 0))
-            i = met[0] if len(met) else k
-            if i == k:
-                kept[k], k = b, k + 1
-            else:
-                kept[i] = [*np.minimum(kept[i, :2], b[:2]), *np.maximum(kept[i, 2:], b[2:])]
-            approx[i] |= rough
-            n[i] += 1
-        out = pd.DataFrame(kept[:k], columns=["x0", "y0", "x1", "y1"])
-        for c in reversed(by):
-            out.insert(0, c, g[c].iloc[0])
-        out["approx"], out["n"] = approx[:k], n[:k]
-        return out
+    def merge(rows: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
+        at = list(zip(rows["x0"].tolist(), rows["y0"].tolist(), rows["x1"].tolist(), rows["y1"].tolist(), rows["approx"].eq(True).tolist(), strict=True))
+        first, out = [], []
+        for a, b in zip(bounds, bounds[1:]):
+            kept: list[list] = []
+            for x0, y0, x1, y1, rough in at[a:b]:
+                for k in kept:
+                    common = max(0.0, min(k[2], x1) - max(k[0], x0)) * max(0.0, min(k[3], y1) - max(k[1], y0))
+                    if common > 0 and common >= MERGE_OVERLAP * min((k[2] - k[0]) * (k[3] - k[1]), (x1 - x0) * (y1 - y0)):
+                        k[:] = min(k[0], x0), min(k[1], y0), max(k[2], x1), max(k[3], y1), k[4] or rough, k[5] + 1
+                        break
+                else:
+                    kept.append([x0, y0, x1, y1, rough, 1])
+            first += [a] * len(kept)
+            out += kept
+        names = rows[by].iloc[first].reset_index(drop=True)
+        return pd.concat([names, pd.DataFrame(out, columns=["x0", "y0", "x1", "y1", "approx", "n"])], axis=1)
 
     b = boxes.select(*by, order, *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "approx")
     types = ", ".join(f"`{c}` {b.schema[c].dataType.simpleString()}" for c in by)
-    return b.groupBy(*by).applyInPandas(merge, types + ", x0 double, y0 double, x1 double, y1 double, approx boolean, n long")
+    return _in_groups(b, by, order, merge, types + ", x0 double, y0 double, x1 double, y1 double, approx boolean, n long")
 
 
 def split_at_edge(hits: DataFrame, glyphs: str = "glyphs") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,3 +57,9 @@ def finished(stream: DataFrame, folder: str) -> DataFrame:
     rows, state = f"{folder}/rows", f"{folder}/state"
     stream.writeStream.format("parquet").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start(rows).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(rows)
+
+
+def shared_folder(spark, name: str) -> str:
+    """A new folder below the one that driver and executors share, which the cluster names in ``spark.checkpoint.dir``."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clearveil-")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
