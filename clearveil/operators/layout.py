@@ -48,30 +48,41 @@ def _segments(start: np.ndarray, end: np.ndarray, measured: np.ndarray) -> np.nd
 
 
 def _in_groups(df: DataFrame, key: list[str], order: str, each, schema: str) -> DataFrame:
-    """``each`` over the rows of every key, sorted by ``order``.  Groups are small and many: partitions
-    are read in batches, whole groups are cut out as they come, and only one open group is kept."""
+    """``key`` and what ``each`` gives for the rows of every key, sorted by ``order``.
+
+    Groups are small and many: partitions are read in batches, whole groups are cut out as they come,
+    and only one open group is kept.  ``each`` takes rows and the bounds of their groups, and gives
+    ``_key``, the group's key as JSON, and ``schema``.
+    """
+
+    def bounds(rows: pd.DataFrame) -> list[int]:
+        k = rows["_key"].to_numpy(object)
+        return [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)] if len(k) else [0]
 
     def run(batches):
         held: list[pd.DataFrame] = []
         for b in batches:
-            held.append(b)
-            k = b[key]
-            begins = np.flatnonzero((k.ne(k.shift()) & ~(k.isna() & k.shift().isna())).any(axis=1).to_numpy()[1:]) + 1
-            if len(held) > 1 and len(b) and not held[0][key].tail(1).reset_index(drop=True).equals(k.head(1).reset_index(drop=True)):
-                begins = np.concatenate([[0], begins])
-            if len(begins):
-                yield whole(pd.concat([*held[:-1], b.iloc[: begins[-1]]], ignore_index=True))
-                held = [b.iloc[begins[-1] :]]
+            if not len(b):
+                continue
+            if held and held[0]["_key"].iloc[0] != b["_key"].iloc[0]:
+                rows = pd.concat(held, ignore_index=True)
+                yield each(rows, bounds(rows))
+                held = []
+            last = bounds(b)[-2]
+            if last:
+                rows = pd.concat([*held, b.iloc[:last]], ignore_index=True)
+                yield each(rows, bounds(rows))
+                held = []
+            held.append(b.iloc[last:])
         if held:
-            yield whole(pd.concat(held, ignore_index=True))
-
-    def whole(rows):
-        k = rows[key]
-        begins = np.flatnonzero((k.ne(k.shift()) & ~(k.isna() & k.shift().isna())).any(axis=1).to_numpy()[1:]) + 1
-        return each(rows, [0, *begins.tolist(), len(rows)] if len(rows) else [0])
+            rows = pd.concat(held, ignore_index=True)
+            yield each(rows, bounds(rows))
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *key).sortWithinPartitions(*key, order).mapInPandas(run, schema)
+    keyed = df.withColumn("_key", F.to_json(F.struct(*key), {"ignoreNullFields": "false"})).drop(*key)
+    out = keyed.repartition(n, "_key").sortWithinPartitions("_key", order).mapInPandas(run, "_key string, " + schema)
+    named = out.withColumn("_key", F.from_json("_key", df.select(*key).schema))
+    return named.select(*[F.col("_key")[k].alias(k) for k in key], *[c for c in out.columns if c != "_key"])
 
 
 class _Page:
@@ -133,18 +144,17 @@ def readings(glyphs: DataFrame, doc: str = "doc_id", page: str = "page") -> Data
     """
 
     def read(rows: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
-        out, docs, pages = [], rows["_doc"].tolist(), rows["_page"].tolist()
+        out, keys = [], rows["_key"].tolist()
         for a, b in zip(bounds, bounds[1:]):
             g = rows.iloc[a:b]
             chars = g["char"].to_numpy(object)
             for r, lines in enumerate(_ten_readings(g, g["width"].iloc[0], g["height"].iloc[0])):
-                out += [(docs[a], pages[a], r, n, "".join(chars[line])) for n, line in enumerate(lines)]
-        return pd.DataFrame(out, columns=["_doc", "_page", "reading", "line", "text"])
+                out += [(keys[a], r, n, "".join(chars[line])) for n, line in enumerate(lines)]
+        return pd.DataFrame(out, columns=["_key", "reading", "line", "text"])
 
     shown = glyphs.where(F.col("char") != "").where(~F.col("char").rlike(r"\A[\s\x1C-\x1F\x85\p{Z}]+\z"))
     g = shown.select(F.col(doc).alias("_doc"), F.col(page).alias("_page"), "seq", "char", "x0", "y0", "x1", "y1", F.coalesce("vertical", F.lit(False)).alias("vertical"), "width", "height")
-    types = {f.name: f.dataType.simpleString() for f in g.schema}
-    got = _in_groups(g, ["_doc", "_page"], "seq", read, f"_doc {types['_doc']}, _page {types['_page']}, reading int, line int, text string")
+    got = _in_groups(g, ["_doc", "_page"], "seq", read, "reading int, line int, text string")
     return got.select(F.col("_doc").alias(doc), F.col("_page").alias(page), "reading", "line", "text")
 
 
@@ -192,12 +202,11 @@ def merged_boxes(boxes: DataFrame, by: list[str], order: str) -> DataFrame:
                     kept.append([x0, y0, x1, y1, rough, 1])
             first += [a] * len(kept)
             out += kept
-        names = rows[by].iloc[first].reset_index(drop=True)
+        names = rows[["_key"]].iloc[first].reset_index(drop=True)
         return pd.concat([names, pd.DataFrame(out, columns=["x0", "y0", "x1", "y1", "approx", "n"])], axis=1)
 
     b = boxes.select(*by, order, *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "approx")
-    types = ", ".join(f"`{c}` {b.schema[c].dataType.simpleString()}" for c in by)
-    return _in_groups(b, by, order, merge, types + ", x0 double, y0 double, x1 double, y1 double, approx boolean, n long")
+    return _in_groups(b, by, order, merge, "x0 double, y0 double, x1 double, y1 double, approx boolean, n long")
 
 
 def split_at_edge(hits: DataFrame, glyphs: str = "glyphs") -> DataFrame:

@@ -94,3 +94,17 @@ def test_outcomes(spark):
     cand = spark.createDataFrame([("f", 0, 0, 0), ("f", 1, 1, 0), ("f", 2, 2, 0), ("f", 3, 1, 0)], "f string, l long, r long, p int")
     got = asg.outcomes(inst, asg.one_to_one(cand, "f", "l", "r", "p"), units, "f", "l", "r").collect()
     assert {x["l"]: x["outcome"] for x in got} == {0: "hit", 1: "downgraded", 2: "hit", 3: "ambiguous", 4: "missed"}
+
+
+def test_groups_that_span_batches(spark):
+    r = random.Random(6)
+    rows = [(r.randrange(12) or None, "a", i, x, y, x + r.uniform(1, 30), y + r.uniform(1, 30), False) for i in range(300) for x, y in [(r.uniform(0, 60), r.uniform(0, 60))]]
+    boxes = spark.createDataFrame(rows, "page int, label string, n int, x0 double, y0 double, x1 double, y1 double, approx boolean")
+    whole = sorted(map(str, lo.merged_boxes(boxes, ["page", "label"], "n").collect()))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        assert sorted(map(str, lo.merged_boxes(boxes, ["page", "label"], "n").collect())) == whole
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sum(x["n"] for x in lo.merged_boxes(boxes, ["page", "label"], "n").collect()) == 300
+    assert lo.merged_boxes(boxes.where("false"), ["page", "label"], "n").count() == 0
