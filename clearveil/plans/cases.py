@@ -160,10 +160,10 @@ def outcome_summary(spark, sf_dir):
 # --- references, tiles, trees, caps
 
 @query("""SELECT DISTINCT l_orderkey AS doc, l_linenumber AS src, l_suppkey AS num, CAST(l_quantity AS INT) % 2 AS gen, CASE WHEN s_suppkey IS NULL THEN 'dangling' WHEN s_nationkey % 2 = CAST(l_quantity AS INT) % 2 THEN 'live' ELSE 'generation' END AS state
- FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_suppkey % 3 <> 0""")
+ FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey > 8""")
 def reference_resolution(spark, sf_dir):
     edges = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("src"), F.col("l_suppkey").alias("num"), (F.col("l_quantity").cast("int") % 2).alias("gen"))
-    objects = _table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("num"), (F.col("s_nationkey") % 2).alias("gen"))
+    objects = _table(spark, sf_dir, "supplier").where("s_nationkey > 8").select(F.col("s_suppkey").alias("num"), (F.col("s_nationkey") % 2).alias("gen"))
     seen = edges.select("doc", "num").distinct().join(objects, "num")
     return st.resolved(edges, seen, "doc")
 
@@ -213,12 +213,11 @@ def drawn_text(spark, sf_dir):
     return c.select("doc_id", F.size("c.shown").alias("n_shown"), F.col("c.text_objects").alias("text_objects"), F.col("c.unreadable").alias("unreadable"))
 
 
-@query(r"""SELECT doc_id, text IS NOT NULL AS readable, len(regexp_extract_all(text, '(?:^|[ \t\n\r\f\x0B])(?:q|Q|cm|re|Do|BT|ET|Tf|Td|Tm|m|l|f|S|W|n)(?:[ \t\n\r\f\x0B])')) >= 3 AS content FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[ \t\n\r](q|Q|cm|re|Do|BT|ET|Tf|Td|Tm|m|l|f|S|W|n)[ \t\n\r](q|Q|cm|re|Do|BT|ET|Tf|Td|Tm|m|l|f|S|W|n)[ \t\n\r]')""")
+@query(r"""SELECT doc_id, true AS readable, len(regexp_extract_all(regexp_replace(text, '([ \t\n\r\f\x0B])', '\1\1', 'g'), '(?:^|[ \t\n\r\f\x0B])(?:q|Q|cm|re|Do|BT|ET|Tf|Td|Tm|m|l|f|S|W|n)[ \t\n\r\f\x0B]')) >= 3 AS content FROM documents WHERE text IS NOT NULL""")
 def readable_streams(spark, sf_dir):
-    """Text as a leftover stream; documents where two operators share a space are left to the tests, as the SQL has no look-ahead."""
+    """Text as a leftover stream.  The SQL doubles white space, as it has no look-ahead."""
     docs = _table(spark, sf_dir, "documents").where("text is not null")
-    apart = docs.where(~F.col("text").rlike(r"[ \t\n\r](q|Q|cm|re|Do|BT|ET|Tf|Td|Tm|m|l|f|S|W|n)[ \t\n\r](q|Q|cm|re|Do|BT|ET|Tf|Td|Tm|m|l|f|S|W|n)[ \t\n\r]"))
-    return apart.select("doc_id", pdf.is_readable(F.col("text").cast("binary")).alias("readable"), pdf.is_content(F.col("text")).alias("content"))
+    return docs.select("doc_id", pdf.is_readable(F.col("text").cast("binary")).alias("readable"), pdf.is_content(F.col("text")).alias("content"))
 
 
 MISREAD = ("BUlLDING", "AUT0M0BILE", "MACHlNRY", "HOUSEH0LDS", "URNlTUR", "xyz")
