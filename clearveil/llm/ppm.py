@@ -10,12 +10,15 @@ numbers of that context: excluded bytes are just those of the next longer contex
 byte seen in a context has been seen in the shorter one.  That makes scoring table look-ups on whole
 arrays.  ``adaptive_bits`` is the textbook coder that learns as it goes, for single texts.
 
-The trie keeps at most ``most`` grams of each length; beyond that, those seen least go (a growing
-threshold), so what is broadcast is bounded whatever the corpus.
-
-The base score needs the corpus count of every word of every document: each group of documents asks
-once for each of its distinct words, tells how often its training texts have it, and gets the totals
-back; nothing of the vocabulary comes to the driver.
+The trie is spread over the cluster and holds every gram of the training texts.  A place's
+probability depends on its longest gram alone: each group of documents asks once for each of its
+distinct grams and tells how often its training texts have it.  The sums by gram are dealt out by
+the last NEAR bytes of the context, so a part has all that longer contexts of its grams need; what
+shorter contexts need is counted by at most NEAR bytes, 256**NEAR numbers whatever the corpus, and
+sent to all.  The probabilities go back the way the requests came.
+
+The base score needs the corpus count of every word of every document, which is asked for in the
+same way; nothing of the vocabulary comes to the driver.
 """
 
 from __future__ import annotations
@@ -25,16 +28,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import group_count, in_groups, written
-from .kernel import U, Mail, Texts, lower_ascii, slices, trim, word_hashes
+from .kernel import U, Mail, Texts, lower_ascii, mix, slices, trim, word_hashes
 
 #: Smaller than elsewhere: each byte has several numbers of eight bytes here.
 SLICE_BYTES = 1 << 20
 ORDER = 5
-MOST = 1 << 19
+#: Last bytes of a context by which grams are dealt out; levels below are sent to all.
+NEAR = 3
 FOLDS, HELD_OUT = 7, 2
 #: Never a byte of UTF-8: the end mark.
 END = 0xFF
@@ -71,9 +76,6 @@ class Trie(NamedTuple):
     kinds: list[np.ndarray]  # d of a context
     rest: list[np.ndarray]  # n of the shorter context without this context's symbols (level 0: 0)
     rest_kinds: list[np.ndarray]
-    keys: np.ndarray  # hash table of the longest grams
-    values: np.ndarray  # their log10 probabilities
-    shift: int
 
 
 _MULT = U(0x9E3779B97F4A7C15)
@@ -117,10 +119,7 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
             rest_kinds.append(np.zeros(len(ctx), np.int64))
         for out, x in zip((grams, counts, contexts, total, kinds), (g, c, ctx, n, d), strict=True):
             out.append(x)
-    g, c = grams[-1], counts[-1]
-    at = np.searchsorted(contexts[-1], g >> U(8))
-    p = np.log10(c / (total[-1][at] + kinds[-1][at])) if len(g) else np.zeros(0)
-    return Trie(grams, counts, contexts, total, kinds, rest, rest_kinds, *_table(g, p))
+    return Trie(grams, counts, contexts, total, kinds, rest, rest_kinds)
 
 
 def _find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +130,7 @@ def _find(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _escaped(trie: Trie, code: np.ndarray) -> np.ndarray:
-    """log10 probabilities of places whose longest gram is not in the trie."""
+    """log10 probabilities of longest grams, whether or not they are in the trie."""
     out = np.zeros(len(code))
     open_ = np.arange(len(code))
     above = np.full(len(code), -1)  # the longer context whose symbols are excluded
@@ -161,25 +160,19 @@ def _escaped(trie: Trie, code: np.ndarray) -> np.ndarray:
     return out
 
 
-def log10_probabilities(trie: Trie, t: Texts) -> np.ndarray:
-    """One number for each text of a slice."""
-    code, owner = _grams(t, len(trie.grams) - 1)
-    at = ((code * _MULT) >> U(trie.shift)).astype(np.int64)
-    key = trie.keys[at]
-    p = trie.values[at].astype(np.float64)
-    open_ = np.flatnonzero((key != code) & (key != _EMPTY))
-    missed = [np.flatnonzero(key == _EMPTY)]
+def log10_probabilities(known: tuple[np.ndarray, np.ndarray, int], t: Texts, order: int = ORDER) -> np.ndarray:
+    """One number for each text of a slice, whose grams are all in the hash table ``known``."""
+    keys, values, shift = known
+    code, owner = _grams(t, order)
+    at = ((code * _MULT) >> U(shift)).astype(np.int64)
+    p = values[at].astype(np.float64)
+    open_ = np.flatnonzero(keys[at] != code)
     at = at[open_]
     while len(open_):
-        at = (at + 1) & (len(trie.keys) - 1)
-        key = trie.keys[at]
-        hit = key == code[open_]
-        p[open_[hit]] = trie.values[at[hit]]
-        missed.append(open_[key == _EMPTY])
-        go = ~hit & (key != _EMPTY)
-        open_, at = open_[go], at[go]
-    miss = np.concatenate(missed)
-    p[miss] = _escaped(trie, code[miss])
+        at = (at + 1) & (len(keys) - 1)
+        hit = keys[at] == code[open_]
+        p[open_[hit]] = values[at[hit]]
+        open_, at = open_[~hit], at[~hit]
     return np.bincount(owner, p, t.n)
 
 
@@ -210,58 +203,114 @@ def adaptive_bits(text: str, order: int = ORDER) -> float:
     return bits
 
 
-def count_grams(texts: DataFrame, order: int) -> DataFrame:
-    """(gram, n) over all texts: a task adds up before anything is exchanged."""
-    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, sorted, and the sums of their counts."""
+    g = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
+    if not len(g):
+        return g, np.zeros(0, np.int64)
+    order = np.argsort(g)
+    g, c = g[order], np.concatenate([p[1] for p in parts])[order]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    return g[first], np.add.reduceat(c.astype(np.int64), first)
+
+
+def _counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    code = np.sort(code)
+    cuts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]])) if len(code) else np.zeros(1, np.int64)
+    return code[cuts[:-1]], np.diff(cuts)
+
+
+def group_grams(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of a group's texts, sorted, and how often its training texts have each."""
+    learns, parts = ~table.column("_held").to_numpy().astype(bool), []
+    for t in slices(table.column("_text"), SLICE_BYTES):
+        code, owner = _grams(t, order)
+        own = learns[t.first : t.first + t.n][owner]
+        parts.append(_counted(code[own]))
+        u, _ = _counted(code[~own])
+        parts.append((u, np.zeros(len(u), np.int64)))
+        if sum(len(u) for u, _ in parts) > 1 << 21 and len(parts) > 8:
+            parts = [_added(parts)]
+    return _added(parts)
+
+
+def _mask(level: int) -> np.uint64:
+    return U((1 << (8 * (level + 1))) - 1)
+
+
+def _messages(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+_SUMS = pa.schema([("_bucket", pa.int32()), ("_part", pa.int32()), ("_grams", pa.binary()), ("_n", pa.binary())])
+_KNOWN = pa.schema([("_bucket", pa.int32()), ("_grams", pa.binary()), ("_p", pa.binary())])
+
+
+def gram_sums(requests: DataFrame, order: int, parts: int) -> DataFrame:
+    """Each distinct gram once with its count in all training texts, in messages from its bucket to its part."""
+    near = min(NEAR, order)
+
+    def add(table: pa.Table) -> pa.Table:
+        trim()
+        bucket = table.column("_bucket")[0].as_py()
+        grams, counts = _messages(table.column("_hash")), [np.frombuffer(x, np.int64) for x in table.column("_n").to_pylist()]
+        u, c = _added(list(zip(grams, counts, strict=True)))
+        mail = Mail(mix((u >> U(8)) & U((1 << (8 * near)) - 1)), parts)
+        return pa.table([pa.array([bucket] * len(mail.buckets), pa.int32()), pa.array(mail.buckets.tolist(), pa.int32()), pa.array(mail.packed(u), pa.binary()), pa.array(mail.packed(c), pa.binary())], schema=_SUMS)
 
-    def add(parts):
-        g = np.concatenate([p[0] for p in parts])
-        c = np.concatenate([p[1] for p in parts])
-        u, inv = np.unique(g, return_inverse=True)
-        return u, np.bincount(inv, c).astype(np.int64)
+    return requests.groupBy("_bucket").applyInArrow(add, "_bucket int, _part int, _grams binary, _n binary")
+
+
+def short_levels(sums: DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Grams of less than ``near`` context bytes and their counts: bounded by the number of byte values."""
+    near = min(NEAR, order)
+    if not near:
+        return []
+    schema = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         trim()
-        parts, held = [], 0
         for batch in batches:
-            for t in slices(batch.column(0), SLICE_BYTES):
-                code, _ = _grams(t, order)
-                u, c = np.unique(code, return_counts=True)
-                parts.append((u, c))
-                held += len(u)
-                if held > 1 << 21:
-                    parts = [add(parts)]
-                    held = len(parts[0][0])
-                    if held > 1 << 20:
-                        yield pa.record_batch([pa.array(parts[0][0].view(np.int64)), pa.array(parts[0][1])], schema=schema)
-                        parts, held = [], 0
-        if parts:
-            u, c = add(parts)
-            yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(c)], schema=schema)
-
-    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def train(texts: DataFrame, *, order: int = ORDER, most: int = MOST) -> Trie:
-    """The trie of all ``texts`` (one string column; nulls are empty texts)."""
-    full = written(count_grams(texts, order), "grams")
-    levels, least = [], 1
-    for j in range(order + 1):
-        level = full if j == order else full.groupBy(F.col("gram").bitwiseAND((1 << (8 * (j + 1))) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-        sizes = {r["c"]: r["k"] for r in level.groupBy(F.least("n", F.lit(256)).alias("c")).agg(F.count("*").alias("k")).collect()}
-        while least < 256 and sum(k for c, k in sizes.items() if c >= least) > most:
-            least += 1
-        kept = level.where(F.col("n") >= least)
-        if sum(k for c, k in sizes.items() if c >= least) > most:  # only with a threshold over 256
-            while kept.limit(most + 1).count() > most:
-                least *= 2
-                kept = level.where(F.col("n") >= least)
-        rows = kept.toArrow()  # at most ``most`` rows of two numbers
-        levels.append((rows["gram"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy()))
-    return build(levels)
-
-
-_REQUEST = pa.schema([("_bucket", pa.int32()), ("_grp", pa.int32()), ("_hash", pa.binary()), ("_n", pa.binary())])
+            u, c = _added([(np.frombuffer(g, np.uint64) & _mask(near - 1), np.frombuffer(n, np.int64)) for g, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+            yield pa.record_batch([pa.array(u.astype(np.int64)), pa.array(c)], schema=schema)
+
+    rows = sums.select("_grams", "_n").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
+    g, c = rows["gram"].to_numpy().astype(np.uint64), rows["n"].to_numpy()
+    return [_added([(g & _mask(j), c)]) for j in range(near)]
+
+
+def gram_probabilities(sums: DataFrame, order: int, buckets: int) -> DataFrame:
+    """log10 probabilities of all distinct grams, in messages back to their buckets."""
+    short = sums.sparkSession.sparkContext.broadcast(short_levels(sums, order))
+
+    def run(table: pa.Table) -> pa.Table:
+        trim()
+        grams = np.concatenate(_messages(table.column("_grams")))
+        n = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("_n").to_pylist()])
+        learnt = grams[n > 0], n[n > 0]
+        levels = [*short.value, *[_added([(learnt[0] & _mask(j), learnt[1])]) for j in range(min(NEAR, order), order + 1)]]
+        mail = Mail(mix(grams), buckets)
+        p = _escaped(build(levels), grams)
+        return pa.table([pa.array(mail.buckets.tolist(), pa.int32()), pa.array(mail.packed(grams), pa.binary()), pa.array(mail.packed(p), pa.binary())], schema=_KNOWN)
+
+    return sums.select("_part", "_grams", "_n").groupBy("_part").applyInArrow(run, "_bucket int, _grams binary, _p binary")
+
+
+def gram_replies(requests: DataFrame, known: DataFrame) -> DataFrame:
+    """Answers to the groups: the probabilities of the grams of each request, in its order."""
+
+    def run(asked: pa.Table, told: pa.Table) -> pa.Table:
+        trim()
+        grams = np.concatenate(_messages(told.column("_grams")))
+        order = np.argsort(grams)
+        grams, p = grams[order], np.concatenate([np.frombuffer(x, np.float64) for x in told.column("_p").to_pylist()])[order].astype(np.float32)
+        back = [p[np.searchsorted(grams, x)].tobytes() for x in _messages(asked.column("_hash"))]
+        return pa.table([asked.column("_grp"), asked.column("_bucket"), pa.array(back, pa.binary())], names=["_grp", "_bucket", "_n"])
+
+    return requests.select("_bucket", "_grp", "_hash").groupBy("_bucket").cogroup(known.groupBy("_bucket")).applyInArrow(run, "_grp int, _bucket int, _n binary")
+
+
+_REQUEST = pa.schema([("_gram", pa.bool_()), ("_bucket", pa.int32()), ("_grp", pa.int32()), ("_hash", pa.binary()), ("_n", pa.binary())])
 _REPLY = pa.schema([("_grp", pa.int32()), ("_bucket", pa.int32()), ("_n", pa.binary()), ("_kinds", pa.int64()), ("_total", pa.int64())])
 
 
@@ -275,7 +324,7 @@ def _words(table: pa.Table):
     return got, *np.unique(all_, return_inverse=True)
 
 
-def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, most: int = MOST) -> DataFrame:
+def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """Base and PPM scores of every row, learnt from rows of other folds than the held-out one.
 
     Returns ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``,
@@ -283,7 +332,6 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order
     token.  A null id is held out of nothing and learns; repeated rows count as often as they come.
     Without training rows every count is 0 and the trie is empty: bytes are equally likely.
     """
-    spark = docs.sparkSession
     groups = group_count(docs, text)
     buckets = max(64, groups // 2)
     held = F.coalesce(fold(F.col(doc_id)) == HELD_OUT, F.lit(False))
@@ -297,9 +345,12 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order
         learns = ~table.column("_held").to_numpy().astype(bool)
         weight = np.concatenate([learns[t.first : t.first + t.n][docs] for t, _, docs in got]) if got else np.zeros(0)
         n = np.bincount(inv, weight, len(u)).astype(np.int64)
-        mail = Mail(u, buckets)
-        k = len(mail.buckets)
-        return pa.table([pa.array(mail.buckets.tolist(), pa.int32()), pa.array([grp] * k, pa.int32()), pa.array(mail.packed(u), pa.binary()), pa.array(mail.packed(n), pa.binary())], schema=_REQUEST)
+        g, c = group_grams(table, order)
+        out = []
+        for gram, mail, key, count in ((False, Mail(u, buckets), u, n), (True, Mail(mix(g), buckets), g, c)):
+            k = len(mail.buckets)
+            out.append(pa.table([pa.array([gram] * k, pa.bool_()), pa.array(mail.buckets.tolist(), pa.int32()), pa.array([grp] * k, pa.int32()), pa.array(mail.packed(key), pa.binary()), pa.array(mail.packed(count), pa.binary())], schema=_REQUEST))
+        return pa.concat_tables(out)
 
     def total(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -311,11 +362,14 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order
         once = [int((c > 0).sum())] + [0] * (rows - 1), [int(c.sum())] + [0] * (rows - 1)
         return pa.table([table.column("_grp"), table.column("_bucket"), pa.array([back[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), pa.array(once[0], pa.int64()), pa.array(once[1], pa.int64())], schema=_REPLY)
 
-    replies = written(by_group.applyInArrow(ask, "_bucket int, _grp int, _hash binary, _n binary").groupBy("_bucket").applyInArrow(total, "_grp int, _bucket int, _n binary, _kinds long, _total long"), "word-counts")
+    requests = written(by_group.applyInArrow(ask, "_gram boolean, _bucket int, _grp int, _hash binary, _n binary"), "requests")
+    words, grams = (requests.where(c).drop("_gram") for c in ("not _gram", "_gram"))
+    replies = written(words.groupBy("_bucket").applyInArrow(total, "_grp int, _bucket int, _n binary, _kinds long, _total long"), "word-counts")
+    dealt = written(gram_sums(grams, order, max(64, buckets // 16)), "gram-sums")
+    told = written(gram_replies(grams, gram_probabilities(dealt, order, buckets)), "gram-replies")
     sums = replies.agg(F.sum("_kinds").alias("v"), F.sum("_total").alias("n")).first()
     ends = base.where("not _held").count()
     kinds, tokens = (sums["v"] or 0) + (ends > 0), (sums["n"] or 0) + ends
-    trie = spark.sparkContext.broadcast(train(base.where("not _held").select("_text"), order=order, most=most))
     log_n, log_end = math.log10(tokens + kinds + 1), math.log10(ends + 1)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     kinds_ = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
@@ -325,13 +379,17 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order
         out = [[] for _ in names]
         if left.num_rows:
             got, u, inv = _words(left)
-            c = Mail(u, buckets).replies(right.column("_bucket").to_pylist(), right.column("_n").to_pylist(), np.int64)[inv]
+            of_gram = right.column("_gram")
+            word, gram = right.filter(pc.invert(of_gram)), right.filter(of_gram)
+            c = Mail(u, buckets).replies(word.column("_bucket").to_pylist(), word.column("_n").to_pylist(), np.int64)[inv]
+            g, _ = group_grams(left, order)
+            known = _table(g, Mail(mix(g), buckets).replies(gram.column("_bucket").to_pylist(), gram.column("_n").to_pylist(), np.float32))
             at = 0
             for t, h, docs in got:
                 own = c[at : at + len(h)]
                 at += len(h)
                 n = np.bincount(docs, minlength=t.n) + 1
-                p = log10_probabilities(trie.value, t)
+                p = log10_probabilities(known, t, order)
                 out[2].append(n)
                 out[3].append(np.bincount(docs, own > 0, t.n).astype(np.int64) + (ends > 0))
                 out[5].append(np.bincount(docs, np.log10(own + 1.0), t.n) + log_end - n * log_n)
@@ -342,4 +400,5 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order
         return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, k) for x, k in zip(cols, kinds_, strict=True)], names=names)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return by_group.cogroup(replies.groupBy("_grp")).applyInArrow(score, schema)
+    both = replies.select(F.lit(False).alias("_gram"), "_grp", "_bucket", "_n").union(told.select(F.lit(True), "_grp", "_bucket", "_n"))
+    return by_group.cogroup(both.groupBy("_grp")).applyInArrow(score, schema)

@@ -251,6 +251,28 @@ def test_lm_scoring(docs, nothing):
     assert ppm.scored(nothing).count() == 0
 
 
+def test_lm_scoring_keeps_rare_grams(spark):
+    """More grams that occur once than a trie on the driver could keep: none is left out."""
+    r = random.Random(5)
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    others = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 != 2][:10]
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=60000)) for _ in others]
+    grams, followed = Counter(), defaultdict(set)
+    for t in texts:
+        s = "^" * 5 + t + "$"
+        grams.update(s[i : i + 6] for i in range(len(s) - 5))
+    assert len(grams) > 1 << 19
+    total = Counter()
+    for g, n in grams.items():
+        total[g[:5]] += n
+        followed[g[:5]].add(g[5])
+    s = "^" * 5 + texts[0] + "$"
+    want = sum(math.log10(grams[g] / (total[g[:5]] + len(followed[g[:5]]))) for g in (s[i : i + 6] for i in range(len(s) - 5)))
+    rows = [(held, texts[0]), *zip(others, texts)]
+    got = ppm.scored(spark.createDataFrame(rows, "doc_id long, text string")).where(f"doc_id = {held}").first()
+    assert got["held_out"] and got["score"] == pytest.approx(want, rel=1e-4)
+
+
 def test_adaptive_coder_learns():
     r = random.Random(0)
     assert ppm.adaptive_bits("abcabcabc" * 30) < ppm.adaptive_bits("".join(r.choice("abc") for _ in range(270)))
