@@ -3,7 +3,7 @@
 Documents become pieces of at most CAPACITY tokens.  The plan is made from the exact histogram of
 piece lengths, at most CAPACITY numbers whatever the corpus:
 
-1. large lengths (over LARGE_OVER of CAPACITY) are cut, in falling order, into groups of equal cardinality
+1. large lengths (over a share of CAPACITY) are cut, in falling order, into groups of equal cardinality
    and rounded up to the largest of their group;
 2. configurations of these few sizes are optimised by column generation (a knapsack prices each
    new configuration), and the whole parts of the solution are taken;
@@ -11,6 +11,7 @@ piece lengths, at most CAPACITY numbers whatever the corpus:
 4. everything else, the small ones last, goes by best fit into the room that is left; sequences
    that rounding has left with room are opened and go through this step once more.
 
+The steps are done for each share of LARGE_OVERS, and the plan with the fewest sequences is kept.
 All steps work on runs of equal sequences, so their work does not grow with the corpus.  A
 piece then finds its place from its rank among pieces of its length; ranks come from counts by
 length and salt, so a length that a third of all pieces have is not one task's work.
@@ -33,9 +34,10 @@ from .kernel import trim
 
 CAPACITY = 2048
 GROUPS = 64
-#: Share of the capacity beyond which a length is large.
-#: From a quarter on, rounding costs 0.5 % more sequences than there are tokens for; at a half none.
+#: Shares of the capacity beyond which a length is large: each gives a plan, and the best is taken.
+#: From a half on each configuration has one large piece; with less, several large lengths share one.
 LARGE_OVER = 1 / 2
+LARGE_OVERS = (LARGE_OVER, 1 / 3, 1 / 4, 1 / 6)
 #: Sequences with more room than this share of the capacity are opened again after step 4.
 OPEN_OVER = 1 / 1024
 
@@ -157,7 +159,9 @@ def best_fit(rooms: _Rooms, lengths: list[list[int]], capacity: int) -> None:
 
 
 def grouped(lengths: list[list[int]], groups: int) -> list[list[list[int]]]:
-    """Groups of equal cardinality in falling order of length."""
+    """Groups of equal cardinality in falling order of length; one for each length if these are not more."""
+    if len(lengths) <= groups:
+        return [[x] for x in sorted(lengths, reverse=True)]
     total = sum(c for _, c, _ in lengths)
     size, out, room = max(1, -(-total // groups)), [], 0
     for length, count, rank in sorted(lengths, reverse=True):
@@ -278,6 +282,19 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     return done + min(first, second, key=lambda runs: sum(r.count for r in runs))
 
 
+def best_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[Run]:
+    """The plan with the fewest sequences over all of LARGE_OVERS; none is tried after one that no plan can beat."""
+    least = -(-sum(n * c for n, c in histogram.items()) // capacity)
+    best: list[Run] | None = None
+    for over in LARGE_OVERS:
+        runs = plan(histogram, capacity, groups, over)
+        if best is None or sum(r.count for r in runs) < sum(r.count for r in best):
+            best = runs
+        if sum(r.count for r in best) <= least:
+            break
+    return best
+
+
 def pieces(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` of every document's tokens and one ``end_id``."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -328,7 +345,7 @@ def packed(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
     salted = cut_.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = written(salted.groupBy("length", "_salt").count(), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    where = spark.sparkContext.broadcast(places(plan(histogram, capacity, groups)))
+    where = spark.sparkContext.broadcast(places(best_plan(histogram, capacity, groups)))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
     ranked = salted.withColumn("_nth", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")))

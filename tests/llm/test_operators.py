@@ -191,6 +191,20 @@ def test_packing_plans_hold_every_piece():
         assert sum(x.count for x in runs) <= 1.1 * sum(x.count for x in plain.all()) + 2
 
 
+def test_packing_lets_large_lengths_share_sequences():
+    h = {983: 1200, 532: 2400}
+    count = lambda runs: sum(x.count for x in runs)
+    assert count(packing.plan(h)) == 1400
+    runs = packing.best_plan(h)
+    assert count(runs) == 1200
+    for n, c in h.items():
+        assert sorted(i for x in runs for m, k, rank in x.content if m == n for i in range(rank, rank + k * x.count)) == list(range(c))
+    r = random.Random(3)
+    for _ in range(3):
+        h = {n: r.randrange(1, 300) for n in r.sample(range(1, 257), 60)}
+        assert count(packing.best_plan(h, 256, 16)) <= min(count(packing.plan(h, 256, 16, over)) for over in packing.LARGE_OVERS)
+
+
 def test_token_counts(docs, nothing):
     from tokenizers import Tokenizer
 
