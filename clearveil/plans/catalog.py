@@ -209,8 +209,8 @@ def tail_crossing_conversations(spark, sf_dir):
 @query()
 def scattered_lines(spark, sf_dir):
     values = spark.createDataFrame(list(VALUES), "rule string, value string")
-    lines = _conversation_lines(spark, sf_dir).where("turn = 0")
-    return mt.scattered(lines, values, "conv_id", "line")
+    lines = _conversation_lines(spark, sf_dir).select(F.struct("conv_id", "turn").alias("page"), "line", "norm")
+    return mt.scattered(lines, values, "page", "line").select("page.conv_id", "page.turn", "rule")
 
 
 _TURN_HITS = f"(SELECT DISTINCT conv_id, turn, rule FROM (SELECT conv_id, turn, {_NORM.format('text')} AS n FROM conversations), {_VALUES_SQL} WHERE contains(n, v))"

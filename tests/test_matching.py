@@ -4,6 +4,7 @@ import unicodedata
 
 from clearveil.functions import text as tx
 from clearveil.operators import matching as mt
+from clearveil.plans import catalog
 from pyspark.sql import functions as F
 
 
@@ -110,6 +111,12 @@ def _scattered(lines, v, window, across=None):
     return False
 
 
+def test_scattered_lines_of_every_turn(spark, tmp_path):
+    rows = [(1, 0, "u", "nothing"), (1, 3, "u", "x de\nau y"), (2, 1, "u", "x de"), (2, 2, "u", "au y"), (3, 0, "u", "un\ngder")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert {tuple(x) for x in catalog.scattered_lines(spark, str(tmp_path)).collect()} == {(1, 3, "v3"), (3, 0, "v4")}
+
+
 def test_scattered_pieces_equal_the_definition(spark):
     r = random.Random(11)
     docs = {d: ["".join(r.choice("abc") for _ in range(r.randrange(4))) for _ in range(9)] for d in range(60)}
