@@ -74,18 +74,37 @@ def ocr_match(value: Column, text: Column) -> Column:
     return F.when(n == 0, None).when(F.contains(text, value), "whole").when((n >= 9) & (best <= 1), "whole").when(best <= limit, "near")
 
 
+def _digits(text: Column) -> Column:
+    return F.regexp_replace(text, r"\D", "")
+
+
+def _digit_grams(d: Column) -> Column:
+    return F.when(F.length(d) >= RESIDUE, F.transform(F.sequence(F.lit(1), F.length(d) - (RESIDUE - 1)), lambda i: F.substring(d, i, F.lit(RESIDUE)))).otherwise(F.array().cast("array<string>"))
+
+
 def residue(text: Column, value: Column) -> Column:
     """A piece of ``value`` left in ``text``: four of its digits in a row in one token (other
     characters of the token dropped), else a word of four or more of its letters; null if none."""
-    grams = lambda d: F.when(F.length(d) >= RESIDUE, F.transform(F.sequence(F.lit(1), F.length(d) - (RESIDUE - 1)), lambda i: F.substring(d, i, F.lit(RESIDUE)))).otherwise(F.array().cast("array<string>"))
-    only = lambda s: F.regexp_replace(s, r"\D", "")
-    mine = grams(only(value))
-    in_text = F.flatten(F.transform(F.split(text, r"\s+"), lambda t: grams(only(t))))
+    mine = _digit_grams(_digits(value))
+    in_text = F.flatten(F.transform(F.split(text, r"\s+"), lambda t: _digit_grams(_digits(t))))
     words = F.transform(F.regexp_extract_all(value, F.lit(f"([A-Za-z]{{{RESIDUE},}})"), 1), lambda w: F.lower(w))
     word = F.get(F.filter(F.regexp_extract_all(text, F.lit("([A-Za-z]+)"), 1), lambda w: F.array_contains(words, F.lower(w))), F.lit(0))
     return F.coalesce(F.get(F.filter(in_text, lambda g: F.array_contains(mine, g)), F.lit(0)), word)
 
 
+def residue_keys(value: Column) -> Column:
+    """What a piece of ``value`` can be: four of its digits in a row, or a word of its letters in lower case."""
+    words = F.regexp_extract_all(value, F.lit(f"([A-Za-z]{{{RESIDUE},}})"), 1)
+    return F.array_distinct(F.concat(_digit_grams(_digits(value)), F.transform(words, lambda w: F.lower(w))))
+
+
+def residue_pieces(text: Column) -> Column:
+    """All that can be a piece of some value, as (nth, key, piece): digits of a token before words, each in order."""
+    grams = F.flatten(F.transform(F.split(text, r"\s+"), lambda t: _digit_grams(_digits(t))))
+    words = F.filter(F.regexp_extract_all(text, F.lit("([A-Za-z]+)"), 1), lambda w: F.length(w) >= RESIDUE)
+    return F.transform(F.concat(grams, words), lambda p, i: F.struct(i.alias("nth"), F.lower(p).alias("key"), p.alias("piece")))
+
+
 def written_forms(value: Column) -> Column:
     """Ways in which a string object can hold ``value``: as it is, in hexadecimal, as UTF-16, escaped; as binary."""
     latin, wide = F.encode(value, "ISO-8859-1"), F.encode(value, "UTF-16BE")

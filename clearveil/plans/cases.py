@@ -237,9 +237,14 @@ def ocr_matches(spark, sf_dir):
 
 @query()
 def residues(spark, sf_dir):
-    """What is left of the first benchmark item in documents; which piece is named first has no short SQL."""
-    value = _table(spark, sf_dir, "benchmark").agg(F.min_by("text", "item_id")).first()[0] or ""
-    return _table(spark, sf_dir, "documents").select("doc_id", sh.residue(F.col("text"), F.lit(value)).alias("piece")).where("piece is not null")
+    """What is left of each benchmark item in each document; which piece is named first has no short SQL."""
+    items = _table(spark, sf_dir, "benchmark").select("item_id", F.explode(sh.residue_keys(F.col("text"))).alias("_key")).distinct()
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    docs = docs.select("doc_id", "_row", F.explode(sh.residue_pieces(F.col("text"))).alias("_p"))
+    # the first piece of each key is enough, and so few rows meet
+    firsts = docs.groupBy("doc_id", "_row", F.col("_p.key").alias("_key")).agg(F.min(F.struct("_p.nth", "_p.piece")).alias("_p"))
+    met = firsts.join(items, "_key").groupBy("doc_id", "_row", "item_id").agg(F.min("_p").alias("_p"))
+    return met.select("doc_id", "item_id", "_p.piece")
 
 
 @query("SELECT n_name, list_sort(list_distinct([hex(encode(n_name)), hex(encode(lower(hex(encode(n_name))))), hex(encode(hex(encode(n_name))))])) AS forms FROM nation")

@@ -4,6 +4,7 @@ import zlib
 
 from clearveil.functions import pdf
 from clearveil.functions import shapes as sh
+from clearveil.plans import cases
 from pyspark.sql import functions as F
 
 
@@ -50,6 +51,18 @@ def test_ocr_match_equals_the_definition(spark):
     assert spark.range(1).select(sh.ocr_form(F.lit("S0l Bo|é-x,"))).first()[0] == "5018" + "0é-x"
 
 
+def test_residues_of_every_item(spark, tmp_path):
+    docs = [(1, "see Smith 12-34 and a9-876b"), (2, "smithson 12 34"), (3, None), (4, "LANE lane 0000 98765"), (4, "LANE lane 0000 98765"), (None, "smith 8765")]
+    items = [(1, "nothing here"), (2, "John Smith"), (3, "id 1234, 5 Long Lane"), (4, "98 76 5 lane"), (5, None), (6, "")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    every = docs.crossJoin(items.withColumnRenamed("text", "v")).select("doc_id", "item_id", sh.residue(F.col("text"), F.col("v")).alias("piece")).where("piece is not null")
+    got = sorted(map(tuple, cases.residues(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(map(tuple, every.collect()), key=str)
+    assert (1, 2, "Smith") in got and (1, 3, "1234") in got and got.count((4, 4, "9876")) == 2
+
+
 def test_residue_and_forms(spark):
     df = spark.createDataFrame([("a12-345b", "999-12-3456"), ("see smith here", "John Smith"), ("smithson", "Smith"), ("", "1234"), ("12 34", "1234")], "t string, v string")
     assert [x[0] for x in df.select(sh.residue(F.col("t"), F.col("v"))).collect()] == ["1234", "smith", None, None, None]
