@@ -3,7 +3,7 @@
 Text nodes are grouped by their path of structural tags from the root.  Each path gets the amount of
 text it holds and the punctuation in it, per node and without linked text; the two series are
 smoothed over the order in which paths first occur, fused as a product, and thresholded, which
-yields the paths of content.  The content's container is then taken whole: headings and short blocks
+yields the paths of content, which are all kept.  The content's container is then taken whole: headings and short blocks
 inside it belong to the article, unless their own markup says otherwise.
 
 Markup that never is article text (menus, page headers and footers, sidebars, forms, adverts,
@@ -221,9 +221,7 @@ def main_text(html: str, threshold: float = THRESHOLD) -> str:
         container = best[: min(common, len(best) - 1)]
 
     def belongs(b: Block) -> bool:
-        if b.path[: len(container)] != container:
-            return False
-        return b.path in content or b.linked * 2 <= len(b.text)
+        return b.path in content or (b.path[: len(container)] == container and b.linked * 2 <= len(b.text))
 
     return "\n".join(b.text for b in found if belongs(b))
 

@@ -339,6 +339,15 @@ def test_html_extraction(spark):
     assert [r["n_chars"] for r in got] == [len(t) for t in texts]
 
 
+def test_html_extraction_keeps_all_content_paths():
+    lead, last = ("The lead, in short; with marks. " * 10).strip(), ("In the end, so it was. " * 13).strip()
+    for n in (3, 100):  # what is kept must not depend on the length of the body
+        body = [("A sentence, and another one. " * 4).strip() for _ in range(n)]
+        page = f"<body><div><p>{lead}</p><div>" + "".join(f"<p>{t}</p>" for t in body) + f"</div><p>{last}</p></div></body>"
+        assert ("body", "div", "p") in html_extract.content_paths(html_extract.blocks(page))
+        assert html_extract.main_text(page) == "\n".join([lead, *body, last])
+
+
 def test_gif_text(docs, nothing):
     for r, x in zip(gif.text_media(docs, with_media=True).collect(), docs.collect()):
         raw = (x["text"] or "").encode()
