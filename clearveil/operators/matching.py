@@ -14,6 +14,7 @@ def containing(units: DataFrame, values: DataFrame, norm: str = "norm", name: st
 
     Few values become literals of one pass.  Many are found by equal k-grams: a value's first k
     characters are joined with every k-gram of the units, and the whole value is looked up after.
+    Either way each row of ``units`` meets each row of ``values`` at most once: repeated rows stay.
     """
     rules = values.where(F.length(value) > 0).select(F.col(name).alias("_rule"), F.col(value).alias("_value"))
     listed = rules.limit(FEW_VALUES + 1).collect()
@@ -26,7 +27,7 @@ def containing(units: DataFrame, values: DataFrame, norm: str = "norm", name: st
     places = F.when(F.length(norm) >= k, F.sequence(F.lit(1), F.length(norm) - F.lit(k - 1)))
     grams = F.array_distinct(F.transform(places, lambda i: F.substring(F.col(norm), i, F.lit(k))))
     met = units.select("*", F.explode(grams).alias("_gram")).join(keyed, "_gram").where(F.contains(norm, "_value"))
-    return met.select(*units.columns, F.col("_rule").alias("rule")).distinct()
+    return met.select(*units.columns, F.col("_rule").alias("rule"))
 
 
 def straddles(left: Column, right: Column, value: Column) -> Column:

@@ -173,7 +173,7 @@ def value_hard_line(spark, sf_dir):
 @query(f"{_CONTAINS} EXCEPT {_ON_LINE}")
 def value_joined_lines_review(spark, sf_dir):
     """Values that only joined lines hold: review, never where the same rule is hard."""
-    return value_contains_benchmark(spark, sf_dir).join(_hard_lines(spark, sf_dir), ["doc_id", "rule"], "left_anti")
+    return value_contains_benchmark(spark, sf_dir).join(_hard_lines(spark, sf_dir), ["doc_id", "rule"], "left_anti").distinct()
 
 
 def _conversation_lines(spark, sf_dir):

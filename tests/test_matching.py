@@ -111,6 +111,21 @@ def _scattered(lines, v, window, across=None):
     return False
 
 
+def test_containing_keeps_repeated_rows_with_few_and_many_values(spark, monkeypatch):
+    units = spark.createDataFrame([(1, "xabcabcy"), (1, "xabcabcy"), (2, "abd"), (3, None)], "doc_id long, norm string")
+    values = spark.createDataFrame([("a", "abc"), ("a", "abc"), ("b", "ab"), ("c", "")], "rule string, value string")
+    want = [(1, "a")] * 4 + [(1, "b")] * 2 + [(2, "b")]
+    for few in (300, 1):
+        monkeypatch.setattr(mt, "FEW_VALUES", few)
+        assert sorted(map(tuple, mt.containing(units, values).select("doc_id", "rule").collect())) == want
+
+
+def test_joined_lines_review_is_a_set(spark, tmp_path):
+    spark.createDataFrame([(1, "ab\ncd"), (1, "ab\ncd")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "abcd")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [tuple(r) for r in catalog.value_joined_lines_review(spark, str(tmp_path)).collect()] == [(1, "7")]
+
+
 def test_scattered_lines_of_every_turn(spark, tmp_path):
     rows = [(1, 0, "u", "nothing"), (1, 3, "u", "x de\nau y"), (2, 1, "u", "x de"), (2, 2, "u", "au y"), (3, 0, "u", "un\ngder")]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
