@@ -287,21 +287,41 @@ def restore(gif: Gif) -> bytes:
     return b"".join(f.palette[f.indices][:, :, 0].tobytes() for f in gif.frames)
 
 
+def timed(gif: Gif, bins: int = BINS) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Start, delay (hundredths of a second) and histogram (pixels in bins of the first channel) of
+    each frame as it is shown: what the frame leaves of those before counts, what nothing has drawn does not."""
+    for f, (start, rgb, drawn) in zip(gif.frames, composed(gif), strict=True):
+        yield start, f.delay, np.bincount(rgb[..., 0][drawn], minlength=256).reshape(bins, -1).sum(axis=1)
+
+
 def feature(gif: Gif, bins: int = BINS) -> str:
-    """Size, frames, duration and the colour histogram (shares of bins of grey, in thousandths)."""
-    counts = np.zeros(256, np.int64)
-    for f in gif.frames:
-        counts += np.bincount(f.palette[f.indices][:, :, 0].ravel(), minlength=256)
-    h = counts.reshape(bins, -1).sum(axis=1) * 1000 // max(1, counts.sum())
+    """Size, frames, duration and the colour histogram (shares of bins of grey over all shown frames, in thousandths)."""
+    counts = sum((h for _, _, h in timed(gif, bins)), np.zeros(bins, np.int64))
+    h = counts * 1000 // max(1, counts.sum())
     return f"{gif.width}x{gif.height};frames={len(gif.frames)};cs={sum(f.delay for f in gif.frames)};grey={','.join(map(str, h))}"
 
 
+def media_frames(files: DataFrame, *, doc_id: str = "doc_id", media: str = "media", bins: int = BINS) -> DataFrame:
+    """One row for each frame of each file: ``frame``, ``start``, ``delay`` and ``histogram`` as in ``timed``; null files have none."""
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    schema = pa.schema(list(zip(["doc_id", "frame", "start", "delay", "histogram"], kinds, strict=True)))
+
+    def run(batches):
+        for batch in batches:
+            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = [(doc, i, *x) for i, x in enumerate(timed(decode(raw), bins))] if raw is not None else []
+                if rows:
+                    yield pa.record_batch([pa.array([r[i].tolist() if i == 4 else r[i] for r in rows], k) for i, k in enumerate(kinds)], schema=schema)
+
+    return files.select(F.col(doc_id).cast("long"), F.col(media)).mapInArrow(run, "doc_id long, frame int, start long, delay long, histogram array<long>")
+
+
 def text_media(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, with_media: bool = False) -> DataFrame:
     """Every row's text (null: empty), padded with zero bytes to a positive multiple of ``width``,
     stored as GIF and read back.
 
     ``payload_*`` and ``tail_crc32`` are of the bytes read back, ``media_*`` of the stored file,
-    ``feature`` of the decoded frames.  Rows do not influence each other; repeated rows and null ids
+    ``feature`` of the frames as shown.  Rows do not influence each other; repeated rows and null ids
     stay.  ``with_media`` adds the file itself.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media"] * with_media

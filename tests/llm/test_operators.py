@@ -358,6 +358,16 @@ def test_gif_text(docs, nothing):
     assert gif.text_media(nothing).count() == 0
 
 
+def test_gif_frames_as_rows(spark):
+    a = gif.Frame(0, 0, np.full((2, 4), 10), gif.GREY, None, 1, 5)
+    b = gif.Frame(0, 0, np.array([[200, 10, 0, 0]]), gif.GREY, 0, 2, 7)  # two pixels are transparent
+    c = gif.Frame(3, 1, np.array([[200]]), gif.GREY, None, 1, 1)
+    media = gif.encode([a, b, c], 4, 2, gif.GREY)
+    rows = gif.media_frames(spark.createDataFrame([(1, media), (2, None)], "doc_id long, media binary"), bins=2).collect()
+    assert [tuple(r) for r in rows] == [(1, 0, 0, 5, [8, 0]), (1, 1, 5, 7, [7, 1]), (1, 2, 12, 1, [3, 1])]
+    assert gif.feature(gif.decode(media), 2).endswith("grey=900,100")
+
+
 def test_gif_frames():
     r = np.random.default_rng(0)
     palette = r.integers(0, 256, (8, 3)).astype(np.uint8)
