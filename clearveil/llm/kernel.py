@@ -7,6 +7,7 @@ documents or over slices of a few megabytes, never over bytes or words.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,22 +19,10 @@ U = np.uint64
 #: Bytes of text handled at once; the temporaries take about 40 times this.
 SLICE_BYTES = 1 << 20
 
-_RADIX, _RADIX_W, _RADIX_W2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
-_TABLE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(radix: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """radix**i and its inverse modulo 2**64 for i < n; kept between calls."""
-    have = _powers.get(int(radix))
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 12)
-        up = np.full(size, radix, np.uint64)
-        up[0] = 1
-        down = np.full(size, U(pow(int(radix), -1, 1 << 64)), np.uint64)
-        down[0] = 1
-        have = _powers[int(radix)] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return have[0][:n], have[1][:n]
+#: Bytes of a span that are mixed eight at a time; longer spans are hashed whole by ``hashlib``.
+LONG_SPAN = 64
+_SEED, _STEP = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+_LEFT = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -125,32 +114,55 @@ def word_bounds(t: Texts, separators: np.ndarray = SPACES) -> tuple[np.ndarray,
     return starts, ends, docs
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    up, _ = powers(_RADIX, len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[:-1], out=out[1:])
-    return out
-
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, equal for equal bytes anywhere.
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes anywhere."""
-    _, down = powers(_RADIX, len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    Eight bytes a step go through a bijection of 64 bits, so there is no polynomial whose roots some
+    family of texts could hit.
+    """
+    n = ends - starts
+    h = mix(n.astype(np.uint64) + _SEED)
+    if not len(n):
+        return h
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(h ^ (eight[starts] & _LEFT[np.minimum(n, 8)]))
+    live = np.flatnonzero((n > 8) & (n <= LONG_SPAN))
+    for at in range(8, LONG_SPAN, 8):
+        if not len(live):
+            break
+        left = n[live] - at
+        h[live] = mix(h[live] * _STEP ^ (eight[starts[live] + at] & _LEFT[np.minimum(left, 8)]))
+        live = live[left > 8]
+    for i in np.flatnonzero(n > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def word_hashes(t: Texts, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, docs = word_bounds(t, separators)
-    return span_hashes(prefix_sums(t.data), starts, ends), docs, starts, ends
+    return span_hashes(t.data, starts, ends), docs, starts, ends
+
+
+def _both(first: np.ndarray, then: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """One hash for two neighbouring ones; the order counts."""
+    return mix(first * salt + then)
 
 
 def rolling(words: np.ndarray, k: int, second: bool = False) -> np.ndarray:
-    """Hash of words[i:i+k] for every i that has k words after it."""
+    """Hash of words[i:i+k] for every i that has k words after it, by doubling: pairs, fours, eights
+    and so on, put together as the bits of ``k`` say.  ``second`` gives one that is independent."""
     if len(words) < k:
         return np.zeros(0, np.uint64)
-    up, down = powers(_RADIX_W2 if second else _RADIX_W, len(words) + 1)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[:-1], out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * down[: len(words) - k + 1])
+    salt = U(0xA0761D6478BD642F) if second else U(0xE7037ED1A0B428DB)
+    power, size, out, covered = words, 1, None, 0
+    while True:
+        if k & size:
+            part = power[covered : covered + len(words) - k + 1]
+            out = part if out is None else _both(out, part, salt + U(2 * k))
+            covered += size
+        if covered == k:
+            return mix(out + salt)
+        power, size = _both(power[: len(power) - size], power[size:], salt + U(2 * size)), 2 * size
 
 
 def one_document(docs: np.ndarray, k: int) -> np.ndarray:

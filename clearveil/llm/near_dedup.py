@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, written
+from .common import dropped, joined, named, written
 from .kernel import SLICE_BYTES, U, mix, rolling, slices, trim, word_hashes
 
 SHINGLE = 5
@@ -223,15 +223,18 @@ def components(edges: DataFrame) -> DataFrame:
     and their joins are split by adaptive execution.
     """
     both = written(edges.select(F.col("x").alias("a"), F.col("y").alias("b")).union(edges.select("y", "x")).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_id"), F.least("a", "_m").alias("_class")), "labels")
+    before = [first := written(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_id"), F.least("a", "_m").alias("_class")), "labels")]
+    labels = first.select("_id", "_class")
     while True:
         near = both.join(labels.select(F.col("_id").alias("b"), "_class"), "b").groupBy(F.col("a").alias("_id")).agg(F.min("_class").alias("_near"))
         near = labels.join(near, "_id").select("_id", F.col("_class").alias("_was"), F.least("_class", "_near").alias("_class"))
         jump = labels.select(F.col("_id").alias("_class"), F.col("_class").alias("_next"))
         new = written(near.join(jump, "_class", "left").select("_id", F.least("_class", F.coalesce("_next", "_class")).alias("_class"), "_was"), "labels")
         changed = new.where("_class <> _was").limit(1).count()
-        labels = new.select("_id", "_class")
+        dropped(*before)
+        before, labels = [new], new.select("_id", "_class")
         if not changed:
+            dropped(both)
             return labels
 
 
@@ -240,11 +243,14 @@ def _mixed(member: DataFrame, found: DataFrame) -> DataFrame:
     the band, of its small classes, and the number of pairs across classes."""
     named = member.join(found.withColumnRenamed("_id", "_rep"), "_rep", "left").select("_rep", "_band", F.coalesce("_class", "_rep").alias("_class"))
     named = written(named, "named")
-    sizes = written(named.groupBy("_band", "_class").agg(F.count("*").alias("_of_class")), "sizes")
+    counts = written(named.groupBy("_band", "_class").agg(F.count("*").alias("_of_class")), "sizes")
     n, c = F.sum("_of_class"), F.col("_of_class")
-    bands = sizes.groupBy("_band").agg(n.alias("_n"), ((n * n - F.sum(c * c)) / 2).alias("_across"), F.sum(F.when(c < _BLOCK // 2, c).otherwise(0)).alias("_small"))
+    bands = counts.groupBy("_band").agg(n.alias("_n"), ((n * n - F.sum(c * c)) / 2).alias("_across"), F.sum(F.when(c < _BLOCK // 2, c).otherwise(0)).alias("_small"))
     bands = written(bands.where("_across > 0"), "bands")
-    return written(named.join(written(sizes.join(bands, "_band"), "sizes"), ["_band", "_class"]), "left")
+    sizes = written(counts.join(bands, "_band"), "sizes")
+    left = written(named.join(sizes, ["_band", "_class"]), "left")
+    dropped(named, counts, bands, sizes)
+    return left
 
 
 def _all_across(left: DataFrame) -> DataFrame:
@@ -310,9 +316,10 @@ def _compare_blocks(batches, least: float):
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["x", "y"])
 
 
-def _by_blocks(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """All pairs across classes of each band, compared in blocks of about _BLOCK texts: what is
-    exchanged is blocks, what comes out is links.  Blocks of one and the same class don't meet."""
+def _by_blocks(left: DataFrame, sets: DataFrame, least: float) -> tuple[list[DataFrame], DataFrame]:
+    """The written blocks, and the links of all pairs across classes of each band, compared in blocks
+    of about _BLOCK texts: what is exchanged is blocks, what comes out is links.  Blocks of one and
+    the same class don't meet."""
     big = F.col("_of_class") >= _BLOCK // 2
     part = F.pmod(F.xxhash64("_rep"), F.ceil(F.when(big, F.col("_of_class")).otherwise(F.col("_small")) / _BLOCK).cast("long"))
     dealt = left.select("_rep", "_band", "_class", F.xxhash64(F.when(big, F.col("_class")), part).alias("_chunk"), F.when(big, F.col("_class")).alias("_pure"))
@@ -323,7 +330,7 @@ def _by_blocks(left: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     met = x.join(y, "_band").where("x_chunk <= y_chunk and (x_pure is null or y_pure is null or x_pure <> y_pure)")
     met = met.select(*[f"{s}{c}" for s in "xy" for c in _PACKED[3:]])
     met = met.repartition(F.expr("xxhash64(x_reps, y_reps)"))
-    return met.mapInArrow(lambda it: _compare_blocks(it, least), "x long, y long").distinct()
+    return [packed], met.mapInArrow(lambda it: _compare_blocks(it, least), "x long, y long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -342,32 +349,37 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     banded = reps.select("_rep", F.explode(F.array(*[F.col(f"_b{i}") for i in range(bands)])).alias("_band"))
     # buckets of two different texts or more
     shared = written(banded.groupBy("_band").agg(F.min("_rep").alias("_pivot"), F.max("_rep").alias("_last")).where("_pivot <> _last").select("_band", "_pivot"), "buckets")
-    member = written(banded.join(shared, "_band").select("_rep", "_band", "_pivot"), "members")
-    pairs = member.where("_rep <> _pivot").select(F.col("_pivot").alias("a"), F.col("_rep").alias("b"), F.col("_pivot").alias("x"), F.col("_rep").alias("y"))
+    members = written(banded.join(shared, "_band").select("_rep", "_band", "_pivot"), "members")
+    pairs = members.where("_rep <> _pivot").select(F.col("_pivot").alias("a"), F.col("_rep").alias("b"), F.col("_pivot").alias("x"), F.col("_rep").alias("y"))
     pairs = written(pairs.distinct(), "pairs")
-    member = member.select("_rep", "_band")
+    member = members.select("_rep", "_band")
     wanted = written(member.select(F.col("_rep").alias("_id")).distinct(), "wanted")
     texts = joined(docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")), wanted, "_id", "inner", 64)
     sets = texts.mapInArrow(lambda it: _shingle_rows(it, size), "_id long, _set binary, _count binary")
     if real.groupBy("_id").count().where("count > 1").limit(1).count():
         sets = sets.groupBy("_id").agg(F.min(F.struct("_set", "_count")).alias("s")).select("_id", "s._set", "s._count")
     sets = written(sets, "shingles")
-    found = components(written(_checked(pairs, sets, similarity), "links"))
+    first_links = written(_checked(pairs, sets, similarity), "links")
+    found = components(first_links)
     left = _mixed(member, found)
+    dropped(shared, members, wanted, first_links)
     # few pairs across classes for the band's size: compared as pairs; else in blocks
     few = left.where(f"_across <= {_FEW} * _n")
     more = written(_all_across(few).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     links = _checked(more, sets, similarity)
-    many = left.where(f"_across > {_FEW} * _n")
+    many, blocks = left.where(f"_across > {_FEW} * _n"), []
     if many.limit(1).count():
-        links = links.unionByName(_by_blocks(many, sets, similarity))
+        blocks, between = _by_blocks(many, sets, similarity)
+        links = links.unionByName(between)
     links = written(links, "links")
+    dropped(left, pairs, more, sets, *blocks)
     if links.limit(1).count():  # between classes, which are joined in turn
         wider = components(links).select(F.col("_id").alias("_class"), F.col("_class").alias("_wider"))
         all_ = found.select("_id", "_class").union(wider.select("_class", "_class").join(found.select("_id"), F.col("_class") == F.col("_id"), "left_anti"))
         found = written(all_.join(wider, "_class", "left").select("_id", F.coalesce("_wider", "_class").alias("_class")), "classes")
 
     classes = written(joined(reps.select("_key1", "_key2", F.col("_rep").alias("_id")), found, "_id", "left", 64).select("_key1", "_key2", F.coalesce("_class", "_id").alias("_class")), "classes")
+    dropped(reps, links, found)
     out = sigs.select("_id", "_words", F.when(F.col("_words") > 0, F.col("_key1")).alias("_key1"), "_key2").join(classes, ["_key1", "_key2"], "left")
     cls = F.coalesce("_class", "_id")
     return out.select(F.col("_id").alias("doc_id"), cls.alias("class_id"), F.col("_words").alias("n_words"), F.coalesce(F.col("_id") == cls, F.lit(True)).alias("is_kept"))
@@ -377,7 +389,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """The rows of ``docs``, all columns, of each class's smallest id; of repeated rows one."""
     found = near_duplicates(docs, doc_id, text).select("doc_id", "is_kept", "class_id")
     kept = written(found.where("is_kept and doc_id is not null").groupBy("doc_id").count(), "kept")
-    out = joined(docs, kept.select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi", 64).select(*docs.columns)
+    out = joined(docs, kept.select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi", 64).select(*map(named, docs.columns))
     if kept.where("count > 1").limit(1).count():
         out = out.dropDuplicates([doc_id])
     return out.unionByName(docs.where(F.col(doc_id).isNull()))

@@ -3,7 +3,7 @@
 Every document is cut into non-overlapping blocks of B words, which are the index; every rolling
 window of B words of every document probes it.  With windows of W words and B = (W + 1) // 2, a
 repeated window holds a whole block of the document it repeats.  Around hits the windows of W words
-are compared by hashes of 64 bits and more, and the covered words form maximal repeats.
+are compared by two independent hashes, 128 bits in all, and the covered words form maximal repeats.
 
 Distribution.  Documents go to groups of about 4 MB by a hash of the row (one exchange, used by all
 passes).  A group asks only once for each of its distinct hashes, so a window that fills a third of
@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_count, in_groups
-from .kernel import SLICE_BYTES, Mail, Texts, U, mix, one_document, rolling, slices, trim, word_hashes
+from .common import group_count, in_groups, named
+from .kernel import SLICE_BYTES, Mail, Texts, U, one_document, rolling, slices, trim, word_hashes
 
 WINDOW = 13
 REQUEST = "_kind int, _bucket int, _grp int, _hash binary, _ids binary"
@@ -49,19 +49,18 @@ class _Slice:
         self.aligned = (self.at - self.first[self.docs[self.at]]) % block == 0
         self.n, self.window, self.block = n, window, block
 
-    def candidates(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows with a block that the index repeats."""
+    def candidates(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and two hashes of the windows with a block that the index repeats."""
         w, b = self.window, self.block
         if self.n < w:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         marks = np.zeros(self.n + 1, np.int64)
         marks[self.at[hit] + 1] = 1
         sums = np.cumsum(marks)
         starts = np.arange(self.n - w + 1)
         ok = one_document(self.docs, w) & (sums[starts + w - b + 1] > sums[starts])
         starts = starts[ok]
-        # two independent polynomials: 64 bits are kept, the other decides the bucket
-        return starts, mix(rolling(self.words, w)[starts] ^ (rolling(self.words, w, second=True)[starts] << U(1)))
+        return starts, rolling(self.words, w)[starts], rolling(self.words, w, second=True)[starts]
 
 
 def _read(table: pa.Table, window: int, block: int) -> list[_Slice]:
@@ -83,21 +82,26 @@ def _block_request(got: list[_Slice], buckets: int) -> tuple[Mail, np.ndarray, n
 
 
 def _window_request(got: list[_Slice], hits: np.ndarray, buckets: int):
-    starts, hashes, owners, at = [], [], [], 0
+    """The group's distinct candidate windows (first hash, second hash, smallest document), each
+    candidate's window and document, and the starts by slice."""
+    starts, first, second, owners, at = [], [], [], [], 0
     for s in got:
-        a, h = s.candidates(hits[at : at + len(s.at)])
+        a, x, y = s.candidates(hits[at : at + len(s.at)])
         at += len(s.at)
         starts.append(a)
-        hashes.append(h)
+        first.append(x)
+        second.append(y)
         owners.append(s.ids[s.docs[a]])
-    u, inv = _unique(hashes)
+    none = np.zeros(0, np.uint64)
+    x, y = (np.concatenate(v) if v else none for v in (first, second))
     owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    least = np.full(len(u), _NO_ID, np.int64)
-    order = np.lexsort((owner, inv))
-    first = np.ones(len(order), bool)
-    first[1:] = inv[order][1:] != inv[order][:-1]
-    least[inv[order][first]] = owner[order][first]
-    return Mail(u, buckets), u, inv, owner, least, starts
+    order = np.lexsort((owner, y, x))
+    new = np.ones(len(order), bool)
+    new[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
+    inv = np.empty(len(order), np.int64)
+    inv[order] = np.cumsum(new) - 1
+    least = order[new]
+    return Mail(x[least], buckets), x[least], y[least], owner[least], inv, owner, starts
 
 
 def _sent(kind: int, grp: int, mail: Mail, hashes: list[bytes], ids: list[bytes | None]) -> pa.Table:
@@ -131,12 +135,13 @@ def _repeated_block(keys: np.ndarray, _: np.ndarray) -> np.ndarray:
     return ((seen > 1) & (indexed > 0))[inv]
 
 
-def _earlier_elsewhere(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether another group has the window in a smaller document."""
-    order = np.lexsort((ids, keys))
-    k = keys[order]
+def _earlier_elsewhere(keys: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Whether another group has the window in a smaller document; ``told``: ids and second hashes by turns."""
+    ids, second = told[::2], told[1::2]
+    order = np.lexsort((ids, second, keys))
+    k, l = keys[order], second[order]
     start = np.ones(len(k), bool)
-    start[1:] = k[1:] != k[:-1]
+    start[1:] = (k[1:] != k[:-1]) | (l[1:] != l[:-1])
     least = ids[order][start][np.cumsum(start) - 1]
     out = np.empty(len(k), bool)
     out[order] = least < ids[order]
@@ -146,16 +151,16 @@ def _earlier_elsewhere(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def mark_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, window: int = WINDOW, keep: tuple[str, ...] = (), kept_text: bool = False) -> DataFrame:
     """Words covered by a window that also starts in a document with a smaller id are removed.
 
-    Returns for each row: ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256``, the columns named
-    in ``keep``, and with ``kept_text`` the remaining words joined by one space (the text itself
-    where nothing was removed).  A null text has no words.  A null id neither gives nor loses
+    Returns for each row: ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256``, with ``kept_text``
+    the remaining words joined by one space (the text itself where nothing was removed), and the
+    columns named in ``keep`` as fields of one struct, ``kept``, so that no name clashes.  A null text has no words.  A null id neither gives nor loses
     words.  Rows with equal ids are the same document to each other.  Texts shorter than the window
     are never changed.  Other columns of ``docs`` are not read, so their names cannot clash.
     """
     block = (window + 1) // 2
     groups = group_count(docs, text)
     buckets = max(64, groups // 2)
-    extra = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
+    extra = [named(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
     base = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), *extra)
     corpus = in_groups(base, groups, "_id", "_text", *[f"_keep{i}" for i in range(len(keep))])
 
@@ -173,8 +178,8 @@ def mark_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
         got = _read(left, window, block)
         mail, inv, _ = _block_request(got, buckets)
         hits = mail.replies(*_replied(right, 0), bool)[inv]
-        mail, u, _, _, least, _ = _window_request(got, hits, buckets)
-        return _sent(1, grp, mail, mail.packed(u), mail.packed(least))
+        mail, x, y, least, _, _, _ = _window_request(got, hits, buckets)
+        return _sent(1, grp, mail, mail.packed(x), mail.packed(np.stack([least, y.view(np.int64)], axis=1)))
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if kept_text else "")
     kinds = [(f.name, f.dataType.simpleString()) for f in corpus.schema.fields if f.name.startswith("_keep")]
@@ -185,7 +190,7 @@ def mark_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
         got = _read(left, window, block) if left.num_rows else []
         mail, inv, _ = _block_request(got, buckets)
         hits = mail.replies(*_replied(right, 0), bool)[inv]
-        mail, _, inv, owner, least, starts = _window_request(got, hits, buckets)
+        mail, _, _, least, inv, owner, starts = _window_request(got, hits, buckets)
         gone = mail.replies(*_replied(right, 1), bool)[inv] | (owner > least[inv])
         n_words, n_removed, digest, texts, at = [], [], [], [], 0
         for s, a in zip(got, starts, strict=True):
@@ -222,6 +227,7 @@ def mark_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     blocks = by_group.applyInArrow(ask_blocks, REQUEST).groupBy("_bucket").applyInArrow(answer(0, _repeated_block), REPLY)
     windows = by_group.cogroup(blocks.groupBy("_grp")).applyInArrow(ask_windows, REQUEST).groupBy("_bucket").applyInArrow(answer(1, _earlier_elsewhere), REPLY)
     result = by_group.cogroup(blocks.unionByName(windows).groupBy("_grp")).applyInArrow(remove, schema)
-    for i, c in enumerate(keep):
-        result = result.withColumnRenamed(f"_keep{i}", c)
-    return result
+    if not keep:
+        return result
+    own = [f.split()[0] for f in schema.split(", ")[: 5 if kept_text else 4]]
+    return result.select(*own, F.struct(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)]).alias("kept"))
