@@ -5,8 +5,8 @@ expectation-maximisation estimates, for each labeller, how it votes on good and
 from the counts of vote patterns over the whole corpus (at most 3 ** labellers numbers).  Posterior
 labels then train a linear scorer on hashed byte trigrams, which scores every whole text.
 
-The scorer is fitted on at most ``sample`` documents, the first by a hash of id and text, of at most
-``train_bytes`` bytes each; votes, pattern counts and scores cover all rows.
+The scorer is fitted on the first documents by a hash of id and text, at most ``sample`` of them and
+at most ``train_bytes`` bytes in all, whole; votes, pattern counts and scores cover all rows.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import within_bytes, written
 from .kernel import SLICE_BYTES, Texts, byte_set, lower_ascii, slices, trim, word_hashes
 
 BITS = 14
 SAMPLE = 4000
-TRAIN_BYTES = 1 << 15
+TRAIN_BYTES = 32 << 20
 KEEP_FROM = 0.5
 #: Trigrams that a text is taken to have besides its own and that say nothing: a short text tells little.
 SHORT = 60
@@ -224,9 +224,10 @@ def classified(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", s
     patterns = np.stack([seen[n].to_numpy() for n in names], axis=1)
     labels = fit_labels(patterns, seen["count"].to_numpy().astype(float))
     # a bounded sample of rows, found by their hash, gives the scorer its texts
-    rows = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("_row"), F.col(text).alias("_text")).where(F.octet_length("_text").between(1, train_bytes))
+    rows = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("_row"), F.col(text).alias("_text")).where("_text <> ''")
     first = F.broadcast(rows.select("_row").distinct().orderBy("_row").limit(sample))  # ``sample`` numbers at most
-    picked = rows.join(first, "_row").dropDuplicates(["_row"]).orderBy("_row").toArrow()["_text"]
+    rows = rows.join(first, "_row").groupBy("_row").agg(F.min("_text").alias("_text"))
+    picked = within_bytes(rows, "_text", ["_row"], train_bytes).orderBy("_row").select("_text").toArrow()["_text"]
     v = []
     for t in slices(picked):
         v.append(_votes(t))

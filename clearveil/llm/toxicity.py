@@ -4,8 +4,9 @@ A document is a bag of sentences.  A sentence's probability is a logistic functi
 and word beginnings; the document's is the noisy-or of its sentences', and that is what is fitted to
 document labels, so the sentences at fault are found without a label of their own.
 
-Training reads at most ``per_class`` labelled documents of each class, the first by a hash of their
-id, of at most ``train_bytes`` bytes each, on the driver; weights are one table of 2**18 numbers.
+Training reads the first labelled documents of each class by a hash of their id, at most
+``per_class`` of them and at most ``train_bytes`` bytes in all, whole, on the driver; weights are one
+table of 2**18 numbers.
 Scoring is one pass over whole texts without an exchange.
 """
 
@@ -18,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import SLICE_BYTES, U, Texts, byte_set, lower_ascii, prefix_sums, slices, span_hashes, trim, word_bounds
+from .common import small_batches, within_bytes
+from .kernel import SLICE_BYTES, U, Texts, byte_set, lower_ascii, slices, span_hashes, trim, word_bounds
 
 BITS = 18
 PREFIXES = (4, 5, 6, 7, 8, 10)
 THRESHOLD = 0.3
 PER_CLASS = 3000
-TRAIN_BYTES = 1 << 16
+TRAIN_BYTES = 24 << 20
 FOLDS, HELD_OUT = 4, 2
 #: Words are digits, letters and everything beyond ASCII.
 SEPARATORS = byte_set((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
@@ -45,12 +47,11 @@ def _features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     """For every word: its sentence's number in the slice, document, start, end; and features x words."""
     t = Texts(t.first, lower_ascii(t.data), t.offs)
     starts, ends, docs = word_bounds(t, SEPARATORS)
-    sums = prefix_sums(t.data)
     mask = (1 << BITS) - 1
-    rows = [span_hashes(sums, starts, ends) & U(mask)]
+    rows = [span_hashes(t.data, starts, ends) & U(mask)]
     for n in PREFIXES:
         cut = np.minimum(starts + n, ends)
-        h = (span_hashes(sums, starts, cut) ^ U(n * 0x51ED27)) & U(mask)
+        h = (span_hashes(t.data, starts, cut) ^ U(n * 0x51ED27)) & U(mask)
         rows.append(np.where(ends - starts > n, h, U(mask + 1)))  # the last place: no such beginning
     stops = np.zeros(len(t.data) + 1, np.int64)
     np.cumsum(ENDS[t.data], out=stops[1:])
@@ -120,15 +121,22 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 300, rate: float =
 
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, train_bytes: int = TRAIN_BYTES, hold_out: bool = True) -> Model:
-    """Fit on a bounded sample of labelled documents; rows without id or label are not read."""
+    """Fit on a bounded sample of labelled documents: of each class the first ``per_class`` by a hash
+    of the id, as far as their texts together have at most ``train_bytes`` bytes.
+
+    Rows without id, label or text are not read.  An id with labels 0 and 1 is toxic; of rows with one
+    id the smallest text is read.
+    """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     if hold_out:
         known = known.where(fold(F.col("_id")) != HELD_OUT)
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
     picked = [known.where(F.col("_y") == c).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for c in (0, 1)]
     sample = picked[0].unionByName(picked[1])  # 2 * per_class rows at most, so its broadcast is bounded
-    texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).where(F.octet_length("_text") <= train_bytes)
-    rows = texts.join(F.broadcast(sample), "_id").dropDuplicates(["_id"]).orderBy("_id").toArrow()
+    texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).where("_text is not null")
+    rows = texts.join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).withColumn("_h", F.xxhash64("_id"))
+    rows = within_bytes(rows, "_text", ["_h", "_id"], train_bytes, ["_y"]).orderBy("_id").select("_text", "_y").toArrow()
     return fit(rows["_text"].to_pylist(), rows["_y"].to_pylist())
 
 
@@ -193,7 +201,8 @@ def without_toxic(docs: DataFrame, model: Model, *, text: str = "text", threshol
                 score = -np.expm1(np.bincount(d, np.log1p(-np.minimum(p, 1 - 1e-12)), t.n))
                 yield batch.slice(t.first, t.n).filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    numbered = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])  # names may hold anything
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 def offending_sentences(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
