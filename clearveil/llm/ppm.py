@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_count, in_groups, written
+from .common import dropped, group_count, in_groups, written
 from .kernel import U, Mail, Texts, lower_ascii, mix, slices, trim, word_hashes
 
 #: Smaller than elsewhere: each byte has several numbers of eight bytes here.
@@ -238,8 +238,31 @@ def _mask(level: int) -> np.uint64:
     return U((1 << (8 * (level + 1))) - 1)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers as their number of bytes and then all first bytes, all second ones and so on:
+    most of the high ones are equal, which any codec stores in next to nothing."""
+    wide = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([wide]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes()
+
+
+def _whole(message: bytes) -> np.ndarray:
+    planes = np.frombuffer(message, np.uint8, offset=1).reshape(message[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : message[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _posted(mail: Mail, values: np.ndarray) -> list[bytes]:
+    v = values[mail.order]
+    return [_planes(v[a:b]) for a, b in zip(mail.cuts[:-1], mail.cuts[1:], strict=True)]
+
+
 def _messages(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+    return [_whole(x) for x in column.to_pylist()]
+
+
+def _counts(column) -> list[np.ndarray]:
+    return [x.astype(np.int64) for x in _messages(column)]
 
 
 _SUMS = pa.schema([("_bucket", pa.int32()), ("_part", pa.int32()), ("_grams", pa.binary()), ("_n", pa.binary())])
@@ -253,10 +276,10 @@ def gram_sums(requests: DataFrame, order: int, parts: int) -> DataFrame:
     def add(table: pa.Table) -> pa.Table:
         trim()
         bucket = table.column("_bucket")[0].as_py()
-        grams, counts = _messages(table.column("_hash")), [np.frombuffer(x, np.int64) for x in table.column("_n").to_pylist()]
+        grams, counts = _messages(table.column("_hash")), _counts(table.column("_n"))
         u, c = _added(list(zip(grams, counts, strict=True)))
         mail = Mail(mix((u >> U(8)) & U((1 << (8 * near)) - 1)), parts)
-        return pa.table([pa.array([bucket] * len(mail.buckets), pa.int32()), pa.array(mail.buckets.tolist(), pa.int32()), pa.array(mail.packed(u), pa.binary()), pa.array(mail.packed(c), pa.binary())], schema=_SUMS)
+        return pa.table([pa.array([bucket] * len(mail.buckets), pa.int32()), pa.array(mail.buckets.tolist(), pa.int32()), pa.array(_posted(mail, u), pa.binary()), pa.array(_posted(mail, c), pa.binary())], schema=_SUMS)
 
     return requests.groupBy("_bucket").applyInArrow(add, "_bucket int, _part int, _grams binary, _n binary")
 
@@ -271,7 +294,7 @@ def short_levels(sums: DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarr
     def run(batches):
         trim()
         for batch in batches:
-            u, c = _added([(np.frombuffer(g, np.uint64) & _mask(near - 1), np.frombuffer(n, np.int64)) for g, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+            u, c = _added([(g & _mask(near - 1), n) for g, n in zip(_messages(batch.column(0)), _counts(batch.column(1)), strict=True)])
             yield pa.record_batch([pa.array(u.astype(np.int64)), pa.array(c)], schema=schema)
 
     rows = sums.select("_grams", "_n").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
@@ -286,12 +309,12 @@ def gram_probabilities(sums: DataFrame, order: int, buckets: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         trim()
         grams = np.concatenate(_messages(table.column("_grams")))
-        n = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("_n").to_pylist()])
+        n = np.concatenate(_counts(table.column("_n")))
         learnt = grams[n > 0], n[n > 0]
         levels = [*short.value, *[_added([(learnt[0] & _mask(j), learnt[1])]) for j in range(min(NEAR, order), order + 1)]]
         mail = Mail(mix(grams), buckets)
-        p = _escaped(build(levels), grams)
-        return pa.table([pa.array(mail.buckets.tolist(), pa.int32()), pa.array(mail.packed(grams), pa.binary()), pa.array(mail.packed(p), pa.binary())], schema=_KNOWN)
+        p = _escaped(build(levels), grams).astype(np.float32)
+        return pa.table([pa.array(mail.buckets.tolist(), pa.int32()), pa.array(_posted(mail, grams), pa.binary()), pa.array(mail.packed(p), pa.binary())], schema=_KNOWN)
 
     return sums.select("_part", "_grams", "_n").groupBy("_part").applyInArrow(run, "_bucket int, _grams binary, _p binary")
 
@@ -303,7 +326,7 @@ def gram_replies(requests: DataFrame, known: DataFrame) -> DataFrame:
         trim()
         grams = np.concatenate(_messages(told.column("_grams")))
         order = np.argsort(grams)
-        grams, p = grams[order], np.concatenate([np.frombuffer(x, np.float64) for x in told.column("_p").to_pylist()])[order].astype(np.float32)
+        grams, p = grams[order], np.concatenate([np.frombuffer(x, np.float32) for x in told.column("_p").to_pylist()])[order]
         back = [p[np.searchsorted(grams, x)].tobytes() for x in _messages(asked.column("_hash"))]
         return pa.table([asked.column("_grp"), asked.column("_bucket"), pa.array(back, pa.binary())], names=["_grp", "_bucket", "_n"])
 
@@ -349,15 +372,15 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order
         out = []
         for gram, mail, key, count in ((False, Mail(u, buckets), u, n), (True, Mail(mix(g), buckets), g, c)):
             k = len(mail.buckets)
-            out.append(pa.table([pa.array([gram] * k, pa.bool_()), pa.array(mail.buckets.tolist(), pa.int32()), pa.array([grp] * k, pa.int32()), pa.array(mail.packed(key), pa.binary()), pa.array(mail.packed(count), pa.binary())], schema=_REQUEST))
+            out.append(pa.table([pa.array([gram] * k, pa.bool_()), pa.array(mail.buckets.tolist(), pa.int32()), pa.array([grp] * k, pa.int32()), pa.array(_posted(mail, key), pa.binary()), pa.array(_posted(mail, count), pa.binary())], schema=_REQUEST))
         return pa.concat_tables(out)
 
     def total(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        hashes = table.column("_hash").to_pylist()
-        u, inv = np.unique(np.frombuffer(b"".join(hashes), np.uint64), return_inverse=True)
-        c = np.bincount(inv, np.frombuffer(b"".join(table.column("_n").to_pylist()), np.int64), len(u)).astype(np.int64)
-        back, cuts = c[inv], np.cumsum([0] + [len(h) // 8 for h in hashes])
+        hashes = _messages(table.column("_hash"))
+        u, inv = np.unique(np.concatenate(hashes), return_inverse=True)
+        c = np.bincount(inv, np.concatenate(_counts(table.column("_n"))), len(u)).astype(np.int64)
+        back, cuts = c[inv], np.cumsum([0] + [len(h) for h in hashes])
         rows = table.num_rows
         once = [int((c > 0).sum())] + [0] * (rows - 1), [int(c.sum())] + [0] * (rows - 1)
         return pa.table([table.column("_grp"), table.column("_bucket"), pa.array([back[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()), pa.array(once[0], pa.int64()), pa.array(once[1], pa.int64())], schema=_REPLY)
@@ -367,6 +390,7 @@ def scored(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order
     replies = written(words.groupBy("_bucket").applyInArrow(total, "_grp int, _bucket int, _n binary, _kinds long, _total long"), "word-counts")
     dealt = written(gram_sums(grams, order, max(64, buckets // 16)), "gram-sums")
     told = written(gram_replies(grams, gram_probabilities(dealt, order, buckets)), "gram-replies")
+    dropped(requests, dealt)
     sums = replies.agg(F.sum("_kinds").alias("v"), F.sum("_total").alias("n")).first()
     ends = base.where("not _held").count()
     kinds, tokens = (sums["v"] or 0) + (ends > 0), (sums["n"] or 0) + ends
