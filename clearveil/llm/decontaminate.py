@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, written
+from .common import joined, named, written
 
 SPAN = 10
 GRAM = 4
@@ -66,7 +66,9 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     item_words = _bound(items.select(F.col(item_id).cast("string").alias("_item"), F.col(item_text).alias("_text")), "_w", words_of(F.col("_text"))).select("_item", "_w").where(F.size("_w") > 0)
     n = F.size("_w")
     starts = F.when(n >= span, F.sequence(F.lit(1), n - F.lit(span - 1))).otherwise(F.array(F.lit(1)))
-    windows = written(item_words.select("_item", F.least(n, F.lit(span)).alias("_len"), F.explode(F.transform(starts, lambda s: F.array_join(F.slice("_w", s, span), " "))).alias("_win")).distinct(), "decontaminate-windows")
+    spans = item_words.select("_item", F.least(n, F.lit(span)).alias("_len"), F.explode(F.transform(starts, lambda s: F.array_join(F.slice("_w", s, span), " "))).alias("_win"))
+    # a window once, with all its items, so that one shared by many items meets a place once
+    windows = written(spans.groupBy("_win", "_len").agg(F.array_sort(F.collect_set("_item")).alias("_of")), "decontaminate-windows")
 
     probes = written(_fingerprints(item_words, "_item", span, gram).select("_fp").distinct(), "decontaminate-fingerprints")
     hits = joined(_fingerprints(words, "_row", span, gram), probes, "_fp", "left_semi", 64).select("_row", F.lit(span).alias("_len"), F.col("_pos"))
@@ -81,8 +83,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     near = joined(words, hits, "_row", "inner", 4096)
     near = near.select("_row", "_w", "_len", F.explode(F.array_distinct(F.flatten(F.transform("_at", lambda p: F.sequence(F.greatest(F.lit(1), p - back), F.least(p, F.size("_w") - F.col("_len") + F.lit(1))))))).alias("_start"))
     near = near.select("_row", "_len", "_start", F.array_join(F.slice("_w", F.col("_start"), F.col("_len")), " ").alias("_win"))
-    found = joined(near, windows, "_win", "inner", 512).where(near["_len"] == windows["_len"]).select("_row", near["_len"].alias("_len"), "_start", "_item")
-    found = found.groupBy("_row").agg(F.collect_set(F.struct("_start", "_len")).alias("_at"), F.collect_set("_item").alias("_items"))
+    found = joined(near, windows, "_win", "inner", 512).where(near["_len"] == windows["_len"]).select("_row", near["_len"].alias("_len"), "_start", "_of")
+    found = found.groupBy("_row").agg(F.collect_set(F.struct("_start", "_len")).alias("_at"), F.array_distinct(F.flatten(F.collect_set("_of"))).alias("_items"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("_at", lambda s: F.sequence(s["_start"], s["_start"] + s["_len"] - F.lit(1))))))
     found = found.select("_row", covered.cast("long").alias("_hit"), F.array_sort("_items").alias("_items"))
 
@@ -99,4 +101,4 @@ def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     hit = contaminated(docs, items, doc_id, text, item_id, item_text, with_row=True).where("contaminated").select("row_hash").distinct()
     hit = written(hit, "decontaminate-rows").withColumnRenamed("row_hash", "_row_hash")
     marked = docs.withColumn("_row_hash", F.xxhash64(F.col(doc_id).cast("long"), F.col(text)))
-    return joined(marked, hit, "_row_hash", "left_anti", 64).select(*docs.columns)
+    return joined(marked, hit, "_row_hash", "left_anti", 64).select(*map(named, docs.columns))
