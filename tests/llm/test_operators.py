@@ -4,12 +4,15 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from clearveil.llm import bpe_count, decontaminate, gif, html_extract, near_dedup, packing, ppm, quality, substring_dedup, toxicity
+from clearveil.llm import bpe_count, decontaminate, gif, html_extract, kernel, near_dedup, packing, ppm, quality, substring_dedup, toxicity
 from clearveil.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -62,8 +65,8 @@ def test_substring_dedup(docs, nothing):
         want[(i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
     assert Counter(map(tuple, substring_dedup.mark_repeats(docs).collect())) == want
     assert substring_dedup.mark_repeats(nothing).count() == 0
-    kept = substring_dedup.mark_repeats(docs, keep=("lang",), kept_text=True).where("doc_id = 500").first()
-    assert kept["kept_text"] is None and kept["lang"] is None
+    kept = substring_dedup.mark_repeats(docs, keep=("lang", "n_chars"), kept_text=True).where("doc_id = 500").first()
+    assert kept["kept_text"] is None and kept["kept"]["lang"] is None
 
 
 def test_decontamination(spark, docs, nothing):
@@ -344,10 +347,210 @@ def test_html_extraction_keeps_all_content_paths():
     for n in (3, 100):  # what is kept must not depend on the length of the body
         body = [("A sentence, and another one. " * 4).strip() for _ in range(n)]
         page = f"<body><div><p>{lead}</p><div>" + "".join(f"<p>{t}</p>" for t in body) + f"</div><p>{last}</p></div></body>"
-        assert ("body", "div", "p") in html_extract.content_paths(html_extract.blocks(page))
         assert html_extract.main_text(page) == "\n".join([lead, *body, last])
 
 
+def test_html_extraction_of_any_markup():
+    text = html_extract.main_text
+    assert text("<p>Hello, you. Yes.<![foo[b]]> more<![ foo> end.</p>") == "Hello, you. Yes. more end."
+    assert text("<p>a\u2003\u2003b\u00a0 c</p>") == "a b c"
+    said = "Main text, it is here. More of it, too."
+    for wrapper in ('class="layout has-sidebar"', 'class="post comments-open"', 'id="discussion"'):
+        assert text(f"<div {wrapper}><p>{said}</p></div>") == said
+    assert text(f'<div class="sidebar"><h1>Title, of it</h1><p>{said}</p></div>') == f"Title, of it\n{said}"
+    long = "Words, and more. " * 9
+    assert text(f'<article><p>{long}</p><section id="discussion"><p>{long}</p></section><ul class="comment-list"><li>{long}</li></ul></article>') == f"{long.strip()}\n{long.strip()}"
+    assert text("<p>Kept, this.</p><!-- never ends <p>lost.</p>") == "Kept, this."
+    assert text('<p>Kept, this.</p><a href="never ends>lost.</p>') == "Kept, this."
+    began = time.time()
+    pages = ["<div>" * 20000 + said + "</div>" * 20000, "".join(f"<div>Text, {i}." for i in range(20000)), "<!--" * 100000, "<a " * 100000, "<script>" * 50000, "<i class=x>" * 20000 + "</i>" * 20000, "<div>" * 5000 + "</x></p></li>" * 5000]
+    assert [len(text(x)) > 0 for x in pages] == [True, True] + [False] * 5
+    assert time.time() - began < 30  # quadratic work would take minutes
+
+
+def plain_main_text(html):
+    """The scores by plain loops over a tree of another reader."""
+    blocks, stack, marks = [], [], []
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            stack.append((tag, any(k == "class" and v == "ad" for k, v in attrs)))
+
+        def handle_endtag(self, tag):
+            stack.pop()
+
+        def handle_data(self, data):
+            if data.strip():
+                blocks.append((tuple(t for t, _ in stack), any(m for _, m in stack), " ".join(data.split())))
+
+    Reader().feed(html)
+    keys = list(dict.fromkeys((p, m) for p, m, _ in blocks))
+    text, punctuation, amount = [], [], []
+    for k in keys:
+        own = [t for p, m, t in blocks if (p, m) == k]
+        n = 0 if k[1] else sum(map(len, own))
+        amount.append(n)
+        text.append(n / len(own))
+        punctuation.append(0 if k[1] else sum(c in ",.;:!?" for t in own for c in t) / len(own))
+    smooth = lambda x: [(v + (x[i - 1] if i else 0) / 3 + (x[i + 1] if i + 1 < len(x) else 0) / 3) * 3 / 5 for i, v in enumerate(x)] if len(x) > 1 else x
+    fused = [0 if k[1] else a * (1 + b) * math.log1p(c) for k, a, b, c in zip(keys, smooth(text), smooth(punctuation), amount)]
+    score = {}
+    for k, s in zip(keys, fused):
+        kin = [f for (p, _), f in zip(keys, fused) if len(p) <= len(k[0]) and k[0][: len(p) - 1] == p[:-1]]
+        score[k] = 0 if k[1] else max(s, 0.5 * max(kin))
+    best = max(score.values(), default=0)
+    return "\n".join(t for p, m, t in blocks if best and score[p, m] >= 0.1 * best)
+
+
+def test_html_extraction_against_plain_loops():
+    r = random.Random(8)
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.2:
+            return " ".join(r.choice(["one", "two,", "three.", "four"]) for _ in range(r.choice([1, 3, 8, 60])))
+        return "".join(f"<{t}{' class=ad' if r.random() < 0.1 else ''}>{tree(depth - 1)}</{t}>" for t in r.choices(["div", "section", "blockquote"], k=r.randrange(1, 4)))
+
+    for _ in range(300):
+        page = f"<html><body><article>one, two.</article>{tree(4)}</body></html>"
+        assert html_extract.main_text(page) == plain_main_text(page)
+
+
+def thue_morse(k):
+    t = "a"
+    for _ in range(k):
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_hold_on_words_that_defeat_polynomials(spark):
+    a, b = thue_morse(11)
+    rows = [(1, f"p q r s t u {a} v w x y z k"), (2, f"p q r s t u {b} v w x y z k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.mark_repeats(df).orderBy("doc_id").collect()] == [0, 0]
+    assert {r["class_id"] for r in near_dedup.near_duplicates(df).collect()} == {1, 2}
+    seq_a, seq_b = (" ".join(x) for x in (a, b))
+    df = spark.createDataFrame([(1, seq_a), (2, seq_b)], "doc_id long, text string")
+    w = [x.split() for x in (seq_a, seq_b)]
+    first = {tuple(w[0][p : p + 13]) for p in range(len(w[0]) - 12)}
+    gone = {p + k for p in range(len(w[1]) - 12) if tuple(w[1][p : p + 13]) in first for k in range(13)}
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.mark_repeats(df).collect()}
+    assert got == {1: 0, 2: len(gone)}
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    df = spark.createDataFrame([(next(i for i in range(60) if i not in held), a), (held[0], b)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_known"] for r in ppm.scored(df).collect()}[held[0]] == 1  # its end alone
+
+
+def test_span_and_window_hashes():
+    r = random.Random(2)
+    words = ["".join(r.choice("ab") for _ in range(r.choice([1, 7, 8, 9, 16, 63, 64, 65, 200]))) for _ in range(3000)]
+    t = next(kernel.slices(pa.array([" ".join(words)])))
+    h, _, _, _ = kernel.word_hashes(t)
+    of = {}
+    assert all(of.setdefault(w, x) == x for w, x in zip(words, h.tolist())) and len(set(of.values())) == len(of)
+    for k in (1, 2, 3, 5, 7, 13, 16):
+        for second in (False, True):
+            small = np.array([of[words[i % 3]] for i in range(40)], np.uint64)
+            got = kernel.rolling(small, k, second).tolist()
+            assert len(got) == 41 - k and all((got[i] == got[j]) == (i % 3 == j % 3) for i in range(len(got)) for j in range(len(got)) if k > 1 or True)
+    assert not set(kernel.rolling(h, 13).tolist()) & set(kernel.rolling(h, 13, True).tolist())
+
+
+def test_packing_reads_any_white_space(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    own, mine = Tokenizer.from_file(path), packing.Encoder(path)
+    r = random.Random(5)
+    odd = ["", " ", "  ", "a  b", "x\x1c y", "a\x00 b", "<|endoftext|> x", "a <|endoftext|>", "\u0085 a"]
+    odd += ["".join(r.choice([" ", "\n", "a", "é", "\x1c", "1", "!", "'s", "\t", "\u3000", "<|endoftext|>", "\0"]) for _ in range(r.randrange(1, 14))) for _ in range(2000)]
+    mine.REMEMBERED = 50
+    for t in odd:
+        assert mine.ids(t).tolist() == own.encode(t, add_special_tokens=False).ids
+    df = spark.createDataFrame([(1, " " * 10**6), (2, "x" + "\n" * 300000)], "doc_id long, text string")
+    got = packing.packed(df, path).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in got} == {i: len(own.encode(t, add_special_tokens=False).ids) + 1 for i, t in ((1, " " * 10**6), (2, "x" + "\n" * 300000))}
+
+
+def test_toxicity_against_plain_loops(spark):
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["Bad", "vile", "good", "né", "a1", "longerword"]) + r.choice(["", ".", "!\n", ","]) for _ in range(r.randrange(0, 40))) for _ in range(60)]
+    labels = [int("vile" in t.lower()) for t in texts]
+    model = toxicity.fit(texts, labels)
+    hashed = lambda w: int(kernel.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    mask = (1 << toxicity.BITS) - 1
+    for t, row in zip(texts, toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()):
+        none = 1.0
+        for sentence in re.split(rb"[\n!.?]", t.encode().lower()):
+            words = re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", sentence)
+            at = [hashed(w) & mask for w in words] + [(hashed(w[:n]) ^ (n * 0x51ED27)) & mask for w in words for n in toxicity.PREFIXES if len(w) > n]
+            if any(model.known[i] for i in at):
+                none *= 1 - 1 / (1 + math.exp(-float(sum(model.weights[i] for i in at)) - model.bias))
+        assert row["score"] == pytest.approx(1 - none, abs=1e-5)
+
+
+def test_toxicity_sample_is_bounded_whatever_the_texts_length(spark):
+    long = "x " * 200000
+    rows = [(i, ("vile " if i % 2 else "") + (long if i < 10 else "short one.")) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(1, 0), (3, 0)], "doc_id long, toxic int")
+    seen = []
+    real, toxicity.fit = toxicity.fit, lambda texts, y: seen.append((texts, y)) or real(texts, y)
+    try:
+        model = toxicity.train(df, labels, hold_out=False)
+        assert len(seen[0][0]) == 200 and sum(seen[0][1]) == 100 and any(len(t) > 65536 for t in seen[0][0])  # both labels: toxic
+        toxicity.train(df, labels, hold_out=False, train_bytes=3 * len(long))
+    finally:
+        toxicity.fit = real
+    assert sum(len(t) for t in seen[1][0]) <= 6 * len(long) and any(len(t) > 65536 for t in seen[1][0])
+    assert {r["doc_id"] % 2 for r in toxicity.scored(df, model).where("predicted = 1").collect()} == {1}
+
+
+def test_quality_against_plain_loops(spark):
+    r = random.Random(6)
+    words = ["word", "Two", "LOUD", "a#", "b!", "é", "longerwordthanothers", "x|", "the"]
+    texts = [" ".join(r.choices(words, k=r.randrange(0, 60))) for _ in range(80)] + ["the " * 50, "z" * 500]
+
+    def plain(t):
+        b, ws, n = t.encode(), t.encode().lower().split(), len(t.split())
+        runs = [x == y for x, y in zip(ws, ws[1:])]
+        count = lambda f: sum(map(f, b))
+        mark = lambda c: chr(c) in "#$%&*+<=>@[\\]^_`{|}~!"
+        small, letters = count(lambda c: 97 <= c <= 122 or c >= 128), max(1, count(lambda c: 65 <= c <= 90 or 97 <= c <= 122))
+        good = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 or chr(c) in "\t\n\x0b\x0c\r \"'(),-./0123456789:;?"
+        rising = lambda x, lo, hi: -1 if x >= hi else 1 if x <= lo else 0
+        size, least = max(1, len(b)), max(1, n)
+        top, mean = max(Counter(ws).values(), default=0), sum(map(len, ws)) / least
+        v = [
+            rising(count(mark) / size, 0.01, 0.03), rising(sum(mark(w[-1]) for w in ws) / least, 0.03, 0.12), rising(count(lambda c: not good(c)) / size, 0.02, 0.05),
+            rising(1 - small / size, 0.3, 0.45), rising(count(lambda c: 65 <= c <= 90) / letters, 0.15, 0.5), rising(count(lambda c: c == 33) / least, 0.02, 0.15),
+            -rising(len(set(ws)) / min(least, 6 * least**0.7), 0.35, 0.55), rising(sum(runs) / least, 0.05, 0.15), rising(top / least, 0.12, 0.2), -1 if mean > 20 else 1 if 3 < mean < 10 else 0,
+        ]
+        return [-1] * 10 if n == 0 else [0] * 10 if n < 5 else [min(x, 0) for x in v] if n < 20 else v
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = quality.classified(df).orderBy("doc_id").collect()
+    votes = [plain(t) for t in texts]
+    assert [[r[f"v_{n}"] for n in quality.LABELLERS] for r in got] == votes
+    # the label model by plain loops
+    m, belief = 10, 0.2
+    post = [0.05 if min(v) < 0 else 0.95 for v in votes]
+    prior = [[0.45, 0.55], [0.01, 0.99]]
+    for _ in range(200):
+        share = min(max(sum(post) / len(post), 1e-3), 1 - 1e-3)
+        p = []
+        for c in (0, 1):
+            w = [q if c else 1 - q for q in post]
+            rows = [[sum(x for x, v in zip(w, votes) if v[k] == side) + prior[c][j] * (belief * len(votes) + 1) for j, side in enumerate((-1, 1))] for k in range(m)]
+            p.append([[a / (a + b), b / (a + b)] for a, b in rows])
+        odds = [math.log(share / (1 - share)) + sum(math.log(p[1][k][(x + 1) // 2] / p[0][k][(x + 1) // 2]) for k, x in enumerate(v) if x) for v in votes]
+        new = [1 / (1 + math.exp(-o)) for o in odds]
+        done = max(abs(a - b) for a, b in zip(new, post)) < 1e-9
+        post = new
+        if done:
+            break
+    assert [r["posterior"] for r in got] == pytest.approx(post, abs=1e-6)
+
+
 def test_gif_text(docs, nothing):
     for r, x in zip(gif.text_media(docs, with_media=True).collect(), docs.collect()):
         raw = (x["text"] or "").encode()
