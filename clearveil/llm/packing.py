@@ -58,12 +58,15 @@ class Encoder(dict):
 
         self.encode = Tokenizer.from_file(path).encode
         self.before: dict[str, bytes] = {}
+        self.marks = {c: self._ids(c) for c in ".,;:!?"}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, stretch: str) -> bytes:
         ids = self.before.pop(stretch, None)
+        if ids is None and stretch[-1:] in self.marks and _LETTERS.fullmatch(stretch, 0, len(stretch) - 1):
+            ids = self[stretch[:-1]] + self.marks[stretch[-1]]  # letters and a mark are two pieces
         if ids is None:
             ids = self._ids(" " + stretch)
         if len(stretch) <= self.SHORT:
@@ -83,6 +86,8 @@ class Encoder(dict):
 #: White space next to white space, where a space need not begin a piece; and the spaces that do.
 _RUN = re.compile(r"\s\s")
 _WIDE = re.compile(r"(?<=\S) (?=\S)")
+#: Letters in every version of Unicode.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 _encoders: dict[str, Encoder] = {}
 
