@@ -217,7 +217,7 @@ def is_readable(data: Column) -> Column:
     for cut in range(4):  # a character cut at the end
         utf8 = utf8 | F.is_valid_utf8(F.substring(head, F.lit(1), F.greatest(F.lit(0), F.length(head) - cut)).cast("string"))
     latin = F.decode(head, "ISO-8859-1")
-    printable = F.length(F.regexp_replace(latin, r"[^\x20-\x7E\t\n\r\x0B\f]", "")) >= 0.85 * F.length(latin)
+    printable = F.length(F.regexp_replace(latin, r"[^\x20-\x7E\t\n\r\f]", "")) >= 0.85 * F.length(latin)
     return ~is_container(data) & (marked | utf8 | printable)
 
 

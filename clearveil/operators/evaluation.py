@@ -65,6 +65,16 @@ def environmental(code: Column, tool: Column, have: tuple[str, ...]) -> Column:
     return F.coalesce(means.isin(*KNOWN_TOOLS) & ~means.isin(*have) if have else means.isin(*KNOWN_TOOLS), F.lit(False))
 
 
+# The warning of a layer whose tool is missing.
+LAYER_WARNINGS = {"ocr": "OCR_UNAVAILABLE", "exiftool": "TOOL_MISSING", "qpdf": "TOOL_MISSING"}
+
+
+def unread_layers(documents: DataFrame, doc: str, have: tuple[str, ...]) -> DataFrame:
+    """(doc, tool, code): for every document the layers that cannot be read without a tool that is not one of ``have``."""
+    lost = [F.struct(F.lit(t).alias("tool"), F.lit(c).alias("code")) for t, c in LAYER_WARNINGS.items() if t not in have]
+    return documents.select(doc, F.inline(F.array(*lost)) if lost else F.lit(None).cast("string")).where(F.lit(bool(lost)))
+
+
 def exits(documents: DataFrame, findings: DataFrame, warnings: DataFrame, doc: str, ignored: list[str]) -> DataFrame:
     """(doc, before, after): exits with and without the rules ``ignored``.
 

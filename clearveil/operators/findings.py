@@ -30,9 +30,11 @@ def verdicts(documents: DataFrame, findings: DataFrame, warnings: DataFrame, doc
 
 def page_labels(matches: DataFrame, doc: str, rule: str, page: str, shown: int = 3) -> DataFrame:
     """(doc, rule, n_pages, label): "p. 1, 2, 3 (+2 more)"; what is cut is said."""
-    pages = matches.groupBy(doc, rule).agg(F.array_sort(F.collect_set(page)).alias("_p"))
-    n = F.size("_p")
-    head = F.array_join(F.transform(F.slice("_p", 1, shown), lambda p: p.cast("string")), ", ")
+    w = Window.partitionBy(doc, rule).orderBy(page)
+    each = matches.select(doc, rule, page).distinct().withColumn("_i", F.row_number().over(w))
+    pages = each.groupBy(doc, rule).agg(F.max("_i").alias("_n"), F.array_sort(F.collect_list(F.when(F.col("_i") <= shown, F.col(page)))).alias("_p"))
+    n = F.col("_n")
+    head = F.array_join(F.transform("_p", lambda p: p.cast("string")), ", ")
     more = F.when(n > shown, F.concat(F.lit(" (+"), (n - shown).cast("string"), F.lit(" more)"))).otherwise("")
     return pages.select(doc, rule, n.cast("long").alias("n_pages"), F.concat(F.lit("p. "), head, more).alias("label"))
 

@@ -30,10 +30,17 @@ def containing(units: DataFrame, values: DataFrame, norm: str = "norm", name: st
     return met.select(*units.columns, F.col("_rule").alias("rule"))
 
 
+def chunks(units: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
+    """Units cut into pieces of ``size`` characters that each begin with the last ``overlap`` of the one before."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)), F.lit(size))
+    pieces = F.transform(starts, lambda i: F.substring(F.col(text), F.greatest(F.lit(1), i - overlap), F.least(i - 1, F.lit(overlap)) + size))
+    return units.withColumn(text, F.explode(pieces))
+
+
 def straddles(left: Column, right: Column, value: Column) -> Column:
     """Whether ``value`` occurs in left + right at a place that lies on both sides of the join."""
     n = F.length(left)
-    at = F.locate(value, F.concat(left, right)) if isinstance(value, str) else F.call_function("locate", value, F.concat(left, right), F.greatest(F.lit(1), n - F.length(value) + 2))
+    at = F.call_function("locate", value, F.concat(left, right), F.greatest(F.lit(1), n - F.length(value) + 2))
     return (F.length(value) >= 2) & (at >= 1) & (at <= n)
 
 
@@ -48,12 +55,12 @@ def seams(lines: DataFrame, values: list[tuple[str, str]], doc: str, page: str,
 def crossings(pages: DataFrame, values: list[tuple[str, str]], doc: str, page: str, norm: str = "norm") -> DataFrame:
     """(doc, page, rule): a value straddles the kept end of all text before and a page's beginning.
 
-    Each page is first cut to what can matter, one less than the longest value at either end, so the
-    running text stays small.
+    Each page is first cut to what can matter, one less than the longest value at either end.  Pages
+    without text add nothing, so no more pages than characters are looked back.
     """
     keep = max(len(v) for _, v in values) - 1
-    w = Window.partitionBy(doc).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
-    short = pages.select(doc, page, F.left(norm, F.lit(keep)).alias("_head"), F.right(norm, F.lit(keep)).alias("_end"))
+    w = Window.partitionBy(doc).orderBy(page).rowsBetween(-max(1, keep), -1)
+    short = pages.where(F.length(norm) > 0).select(doc, page, F.left(norm, F.lit(keep)).alias("_head"), F.right(norm, F.lit(keep)).alias("_end"))
     tail = F.right(F.array_join(F.collect_list("_end").over(w), ""), F.lit(keep))
     return _named(short.select(doc, page, "_head", tail.alias("_tail")), values, lambda v: straddles(F.col("_tail"), F.col("_head"), v)).select(doc, page, "rule")
 

@@ -51,8 +51,8 @@ def tiling(claims: DataFrame, doc: str, owner: str, start: str, end: str) -> Dat
     """Elementary pieces of claimed ranges [start, end): (doc, start, end, kind, owners).
 
     Neighbouring pieces are one region if both are contested, both unclaimed, or owned by the same
-    one; ``owners`` counts the distinct claimants of the region.  One sort of the ends of the
-    claims for each document, no range join: a piece's claimants are those begun and not ended.
+    one; ``owners`` counts the distinct claimants of the region.  A document's pieces meet its own
+    claims alone, by an equi-join on the document with the range as its filter.
     """
     c = claims.select(F.col(doc).alias("_doc"), F.col(owner).alias("_owner"), F.col(start).alias("_s"), F.col(end).alias("_e")).where("_s < _e")
     points = c.select("_doc", F.col("_s").alias("_at")).union(c.select("_doc", "_e")).distinct()
@@ -115,3 +115,32 @@ def revisions_kept(revisions: DataFrame, doc: str, most: int = 50) -> DataFrame:
     w = Window.partitionBy(doc)
     n = revisions.withColumn("_last", F.row_number().over(w.orderBy(F.desc("revision")))).withColumn("_n", F.count("*").over(w))
     return n.where((F.col("_last") < most) | (F.col("_last") == F.col("_n"))).withColumn("left_out", F.greatest(F.lit(0), F.col("_n") - most)).drop("_last", "_n")
+
+
+def missing_members(entries: DataFrame, members: DataFrame, doc: str) -> DataFrame:
+    """(doc, num, home): entries that say an object lies in a stream, where that stream has no such member.
+
+    ``entries``: doc, num, home; ``members``: doc, home, num.  A home that is not there has none.
+    """
+    return entries.select(doc, "num", "home").distinct().join(members.select(doc, "num", "home"), [doc, "num", "home"], "left_anti")
+
+
+# What a reference is used for, by the key that holds it; a category directly inside
+# resources comes first, then the outermost key that is listed.
+RESOURCE_USES = {"XObject": "xobject", "Font": "font", "Pattern": "pattern", "Shading": "shading", "ExtGState": "extgstate", "ColorSpace": "color_space", "Properties": "properties"}
+KEY_USES = {
+    "Root": "root", "Info": "info", "Encrypt": "encrypt", "Pages": "pages", "Kids": "pages", "Parent": "parent", "Contents": "contents", "Resources": "resources",
+    "FontFile": "font_program", "FontFile2": "font_program", "FontFile3": "font_program", "CharProcs": "font_program", "SMask": "soft_mask", "Mask": "soft_mask",
+    "Annots": "annotation", "AP": "appearance", "AcroForm": "field", "Fields": "field", "V": "field", "Outlines": "outline", "Names": "name_tree", "Dests": "name_tree",
+    "OpenAction": "action", "AA": "action", "A": "action", "EF": "embedded_file", "AF": "embedded_file", "Metadata": "metadata", "Thumb": "thumbnail",
+    "Alternates": "alternate", "OCProperties": "optional_content", "OC": "optional_content", "StructTreeRoot": "structure", "PieceInfo": "piece_info",
+}
+
+
+def use_kind(path):
+    """What a reference at ``path``, an array of keys from the outermost on, is used for; "other" if no key says."""
+    literal = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    pairs = F.transform(F.slice(path, 1, F.greatest(F.lit(0), F.size(path) - 1)), lambda k, i: F.when(k == "Resources", F.element_at(literal(RESOURCE_USES), F.get(path, i + 1))))
+    keys = F.transform(path, lambda k: F.element_at(literal(KEY_USES), k))
+    first = lambda found: F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+    return F.coalesce(first(pairs), first(keys), F.lit("other"))

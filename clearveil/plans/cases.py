@@ -56,9 +56,11 @@ def merged_boxes(spark, sf_dir):
     return lo.merged_boxes(_drawn(spark, sf_dir).withColumn("approx", F.col("seq") > 3), ["doc_id", "kind"], "seq")
 
 
-@query("SELECT doc_id, page, seq, x1 - x0 > 3510 OR y1 - y0 > 3510 AS too_large, least(x1 - x0, y1 - y0) >= 8 AND greatest(x1 - x0, y1 - y0) >= 32 AS text_sized FROM " + _DRAWN)
+@query("SELECT doc_id, page, seq, w > 3510 OR h > 3510 AS too_large, w IS NULL OR (least(w, h) >= 8 AND greatest(w, h) >= 32) AS text_sized FROM (SELECT doc_id, page, seq, CASE WHEN kind = 'clip' THEN NULL WHEN kind = 'fill' THEN (x1 - x0) * 60 ELSE x1 - x0 END AS w, CASE WHEN kind <> 'clip' THEN (y1 - y0) / 2 END AS h FROM " + _DRAWN + ")")
 def image_sizes(spark, sf_dir):
-    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    """Sizes of all kinds, unknown ones too."""
+    wide, high = F.col("x1") - F.col("x0"), (F.col("y1") - F.col("y0")) / 2
+    w, h = F.when(F.col("kind") == "fill", wide * 60).when(F.col("kind") == "image", wide), F.when(F.col("kind") != "clip", high)
     return _drawn(spark, sf_dir).select("doc_id", "page", "seq", lo.ocr_too_large(w, h).alias("too_large"), lo.text_sized(w, h).alias("text_sized"))
 
 
@@ -213,11 +215,15 @@ def drawn_text(spark, sf_dir):
     return c.select("doc_id", F.size("c.shown").alias("n_shown"), F.col("c.text_objects").alias("text_objects"), F.col("c.unreadable").alias("unreadable"))
 
 
-@query(r"""SELECT doc_id, true AS readable, len(regexp_extract_all(regexp_replace(text, '([ \t\n\r\f\x0B])', '\1\1', 'g'), '(?:^|[ \t\n\r\f\x0B])(?:q|Q|cm|re|Do|BT|ET|Tf|Td|Tm|m|l|f|S|W|n)[ \t\n\r\f\x0B]')) >= 3 AS content FROM documents WHERE text IS NOT NULL""")
+@query(r"""SELECT doc_id, doc_id % 3 <> 1 AND (doc_id % 3 = 0 OR text = '') AS readable, len(regexp_extract_all(regexp_replace(text, '([ \t\n\r\f\x0B])', '\1\1', 'g'), '(?:^|[ \t\n\r\f\x0B])(?:q|Q|cm|re|Do|BT|ET|Tf|Td|Tm|m|l|f|S|W|n)[ \t\n\r\f\x0B]')) >= 3 AS content FROM documents WHERE text IS NOT NULL""")
 def readable_streams(spark, sf_dir):
     """Text as a leftover stream.  The SQL doubles white space, as it has no look-ahead."""
     docs = _table(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", pdf.is_readable(F.col("text").cast("binary")).alias("readable"), pdf.is_content(F.col("text")).alias("content"))
+    # a third as it is, a third behind a container's signature, a third with every byte turned into one that is no text
+    turned = F.unhex(F.translate(F.hex(F.col("text").cast("binary")), "0123456789ABCDEF", "FFFFFFFFFFFFFFFF"))
+    data = F.when(F.col("doc_id") % 3 == 0, F.col("text").cast("binary")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("PK\x03\x04").cast("binary"), F.col("text").cast("binary"))).otherwise(F.concat(F.unhex(F.lit("00")), turned))
+    data = F.when((F.col("text") == "") & (F.col("doc_id") % 3 == 2), F.col("text").cast("binary")).otherwise(data)
+    return docs.select("doc_id", pdf.is_readable(data).alias("readable"), pdf.is_content(F.col("text")).alias("content"))
 
 
 MISREAD = ("BUlLDING", "AUT0M0BILE", "MACHlNRY", "HOUSEH0LDS", "URNlTUR", "xyz")

@@ -206,7 +206,14 @@ def tail_crossing_conversations(spark, sf_dir):
     return mt.crossings(pages, list(VALUES), "conv_id", "turn")
 
 
-@query()
+_CUTS = f"(SELECT rule, v, unnest(range(1, length(v))) AS k FROM {_VALUES_SQL})"
+
+
+@query(f"""WITH l AS MATERIALIZED (SELECT conv_id, turn, i, {_NORM.format('l')} AS t FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations)),
+ a AS MATERIALIZED (SELECT conv_id, turn, rule, v, k, i FROM l, {_CUTS} WHERE t <> '' AND ends_with(t, left(v, k))), b AS MATERIALIZED (SELECT conv_id, turn, rule, v, k, i FROM l, {_CUTS} WHERE t <> '' AND starts_with(t, substr(v, k + 1))),
+ p AS MATERIALIZED (SELECT a.conv_id, a.turn, a.rule, a.v, a.k AS ka, b.k AS kb, a.i AS ia, b.i AS ib FROM a JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.rule = b.rule AND a.i <> b.i AND abs(a.i - b.i) < 5)
+ SELECT conv_id, turn, rule FROM p WHERE ka = kb UNION
+ SELECT p.conv_id, p.turn, p.rule FROM p JOIN l ON l.conv_id = p.conv_id AND l.turn = p.turn AND l.i <> ia AND l.i <> ib AND abs(l.i - ia) < 5 AND abs(l.i - ib) < 5 AND t <> '' AND kb = ka + length(t) AND substr(v, ka + 1, length(t)) = t""")
 def scattered_lines(spark, sf_dir):
     values = spark.createDataFrame(list(VALUES), "rule string, value string")
     lines = _conversation_lines(spark, sf_dir).select(F.struct("conv_id", "turn").alias("page"), "line", "norm")
@@ -258,17 +265,20 @@ def json_string_walk(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", F.explode(values).alias("value"))
 
 
-@query(r"""SELECT source, count(*) AS n, CAST(sum(CASE WHEN length(regexp_replace(left(text, 65536), '[^\x20-\x7E\t\n\r\x0B\f]', '', 'g')) < 0.85 * length(left(text, 65536)) THEN 1 ELSE 0 END) AS BIGINT) AS binary FROM documents GROUP BY source""")
+@query("""SELECT source, count(*) AS n, count_if(len(list_filter(h, lambda x: x BETWEEN '20' AND '7E' OR x IN ('09', '0A', '0C', '0D'))) < 0.85 * len(h)) AS "binary" FROM (SELECT source, regexp_extract_all(left(hex(encode(text)), 131072), '..') AS h FROM documents) GROUP BY source""")
 def binary_sniff_ratio(spark, sf_dir):
     return _table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(tx.looks_binary(F.col("text"))).alias("binary"))
 
 
-_FAMILY = "CASE WHEN p_name IS NULL OR p_name = '' THEN 'unknown' " + " ".join(f"WHEN contains(lower(p_name), '{n}') THEN '{f}'" for n, f in tx.PRODUCER_FAMILIES) + " ELSE 'other' END"
+#: Names that part numbers stand for, by their remainder; null and empty ones among them.
+PRODUCERS = ("Acrobat Distiller 9", "Microsoft Word", None, "", "LibreOffice 7", "GPL Ghostscript", "Skia/PDF m99", "macOS Quartz", "home-made", "EXCEL preview")
+_MADE = "(SELECT CASE p_partkey % 10 " + " ".join(f"WHEN {i} THEN {'NULL' if p is None else repr(p)}" for i, p in enumerate(PRODUCERS)) + " END AS p FROM part)"
 
 
-@query(f"SELECT {_FAMILY} AS family, count(*) AS n FROM part GROUP BY ALL")
+@query(f"SELECT CASE WHEN p IS NULL OR p = '' THEN 'unknown' WHEN p ILIKE 'acrobat%' THEN 'acrobat' WHEN p IN ('Microsoft Word', 'EXCEL preview') THEN 'office' WHEN p LIKE 'Libre%' THEN 'libreoffice' WHEN p LIKE 'GPL%' THEN 'ghostscript' WHEN p LIKE 'Skia%' THEN 'chromium' WHEN p LIKE 'mac%' THEN 'quartz' ELSE 'other' END AS family, count(*) AS n FROM {_MADE} GROUP BY ALL")
 def producer_buckets(spark, sf_dir):
-    return _table(spark, sf_dir, "part").groupBy(tx.producer_family(F.col("p_name")).alias("family")).agg(F.count("*").alias("n"))
+    made = F.get(F.array(*map(F.lit, PRODUCERS)), (F.col("p_partkey") % 10).cast("int"))
+    return _table(spark, sf_dir, "part").groupBy(tx.producer_family(made).alias("family")).agg(F.count("*").alias("n"))
 
 
 def _cases(spark, sf_dir):
@@ -347,10 +357,11 @@ def object_map_latest(spark, sf_dir):
     return st.newest(_table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'F' AND o_totalprice > 300000)")
 def orphans(spark, sf_dir):
-    """Objects that nothing refers to."""
-    return _table(spark, sf_dir, "customer").select("c_custkey").join(_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Objects that nothing refers to: customers without a large order that is done."""
+    used = _table(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return _table(spark, sf_dir, "customer").select("c_custkey").join(used, "c_custkey", "left_anti")
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey AS src, l_linenumber AS dst FROM lineitem),
@@ -389,7 +400,8 @@ def edit_distance_join(spark, sf_dir):
 @query("SELECT o_custkey, count(*) AS n, array_to_string(list_sort(list(o_orderkey))[1:8], ', ') || CASE WHEN count(*) > 8 THEN ' (+' || (count(*) - 8) || ' more)' ELSE '' END AS objects FROM orders GROUP BY o_custkey")
 def object_lists(spark, sf_dir):
     """The first eight objects and how many more there are."""
-    g = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("o_orderkey")).alias("k"))
+    o = st.capped(_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], 8)
+    g = o.groupBy("o_custkey").agg((F.count("*") + F.sum("left_out")).alias("n"), F.array_sort(F.collect_list("o_orderkey")).alias("k"))
     more = F.when(F.col("n") > 8, F.concat(F.lit(" (+"), (F.col("n") - 8).cast("string"), F.lit(" more)"))).otherwise("")
     return g.select("o_custkey", "n", F.concat(F.array_join(F.transform(F.slice("k", 1, 8), lambda x: x.cast("string")), ", "), more).alias("objects"))
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clearveil.functions.pdf import decode_string, inflate, scan_content, unreadable
+from clearveil.functions.pdf import decode_string, inflate, pattern_text, scan_content, unreadable
 
 # Bounds of the reader, and what pages inherit.
 MAX_DEPTH, MAX_OBJECTS, MAX_INFLATED, MAX_PAGE_DEPTH = 25, 500_000, 1 << 31, 100
@@ -154,6 +154,7 @@ class File:
         self.data, self.flags, self.left = data, [], MAX_INFLATED
         self.sections: list[tuple[int, int, dict, dict, int]] = []  # start, end, entries, trailer, revision; newest first
         self._homes: dict[tuple[int, int], dict[int, tuple[int, bytes]]] = {}
+        self._maps: dict[int, dict[int, tuple[int, int, int]]] = {}
         try:
             self._chain()
         except (Broken, RecursionError):
@@ -331,11 +332,15 @@ class File:
 
     def map(self, revision: int) -> dict[int, tuple[int, int, int]]:
         """Newest entry of each object as of a revision."""
-        out: dict = {}
-        for _, _, entries, _, r in self.sections:
-            if r <= revision:
-                out = entries | out
-        return out
+        if not self.sections:
+            return {}
+        if revision not in self._maps:
+            out: dict = {}
+            for _, _, entries, _, r in reversed(self.sections):
+                if r <= revision:
+                    out.update(entries)
+            self._maps[revision] = out
+        return self._maps[revision]
 
     def find(self, num: int, revision: int | None = None):
         """(value, raw stream, gen, start, end, home) of an object, or None."""
@@ -418,6 +423,26 @@ def _pages(f: File, trailer: dict) -> Iterator[dict]:
     yield from out
 
 
+def _gaps(f: File, rows: list[dict]) -> Iterator[dict]:
+    """What no section and no listed object claims: "gap" rows, of type "space" where they hold white
+    space alone, and a "dead" row for each whole object in one, which no cross-reference reaches."""
+    claims = sorted((r["start"], r["end"]) for r in rows if r.get("start") is not None and r.get("home") is None and r["kind"] in ("object", "trailer") and r["end"] > r["start"])
+    claims += [(m.start(), m.end()) for m in re.finditer(rb"startxref[\x00\t\n\x0c\r ]+\d+[\x00\t\n\x0c\r ]+%%EOF", f.data)]
+    head = re.match(rb"[\s\S]{0,1024}?%PDF-[^\r\n]*[\r\n]+(?:%[^\r\n]*[\r\n]+)?", f.data)
+    claims.append((0, head.end() if head else 0))
+    at = 0
+    for start, end in [*sorted(claims), (len(f.data), len(f.data))]:
+        if start > at:
+            blank = not f.data[at:start].strip(b"\x00\t\n\x0c\r ")
+            yield {"kind": "gap", "start": at, "end": start, "type": "space" if blank else "unindexed"}
+            here = at
+            for m in () if blank else _HEADER.finditer(f.data, at, start):
+                if m.start() >= here and (got := f.body(m.start())) and got[4] <= start:
+                    yield _described({"kind": "dead", "num": got[0], "gen": got[1], "start": m.start(), "end": got[4]}, got[2])
+                    here = got[4]
+        at = max(at, end)
+
+
 def read(data: bytes) -> list[dict]:
     """Rows of SCHEMA, without the path, for one file."""
     if b"%PDF-" not in data[:1024]:
@@ -434,7 +459,12 @@ def read(data: bytes) -> list[dict]:
     done: dict[int, tuple] = {}
     for revision in range(f.last + 1):
         for num, entry in f.map(revision).items():
-            if entry[0] not in (1, 2) or done.get(num) == entry:
+            if done.get(num) == entry:
+                continue
+            if entry[0] not in (1, 2):
+                if num in done and done[num][0] in (1, 2):
+                    out.append({"kind": "freed", "revision": revision, "num": num, "gen": entry[2], "strings": [], "edges": []})
+                    done[num] = entry
                 continue
             done[num] = entry
             if len(out) >= MAX_OBJECTS:
@@ -461,26 +491,37 @@ def read(data: bytes) -> list[dict]:
                     if unreadable(content):
                         f.flag("TEXT_UNDECODABLE", num=num, revision=revision)
             out.append(row)
+    out += _gaps(f, out)
     out += _pages(f, trailer)
     unique = {tuple(sorted((k, v) for k, v in x.items() if v is not None)): x for x in f.flags}
     return [*out, *unique.values()]
 
 
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    whole = ("revision", "num", "gen", "start", "end", "home")
+    return pd.DataFrame({c: pd.array([r.get(c) for r in rows], dtype="Int64") if c in whole else pd.Series([r.get(c) for r in rows], dtype=object) for c in COLUMNS})
+
+
 def objects(files: DataFrame) -> DataFrame:
     """Rows of SCHEMA for files (path, content): objects of every revision in which they are new,
     trailers, pages of the last revision (``start`` is the page's number) and flags."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
+        size = 0
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:
                     rows = read(bytes(content)) if content is not None else [{"kind": "flag", "flag": "PDF_UNREADABLE"}]
                 except Exception:  # noqa: BLE001  a file must never fail the task; the flag asks for review
                     rows = [{"kind": "flag", "flag": "READER_CRASHED"}]
-                df = pd.DataFrame([{"path": path, **r} for r in rows]).reindex(columns=COLUMNS)
-                for c in ("revision", "num", "gen", "start", "end", "home"):
-                    df[c] = df[c].astype("Int64")
-                yield df.astype(object).where(df.notna(), None)
+                held += [{"path": path, **r} for r in rows]
+                size += len(content or b"")
+                if len(held) >= 5000 or size >= 8 << 20:  # rows of several small files go together
+                    yield _frame(held)
+                    held, size = [], 0
+        if held:
+            yield _frame(held)
 
     return files.select("path", "content").mapInPandas(each, SCHEMA)
 
@@ -508,17 +549,23 @@ def manifest(files: DataFrame) -> DataFrame:
 def units(rows: DataFrame) -> DataFrame:
     """(path, revision, num, storage, unit, text): what rules are matched against.
 
-    For each object its strings joined (for values), its strings fenced (for patterns) and what its
-    content shows; "superseded" are objects that a later revision replaces.
+    For each object its strings joined (for values), its strings but dates fenced (for patterns) and
+    what its content shows; "superseded" are objects that the last revision has not or has otherwise.
     """
     from pyspark.sql import Window
 
-    o = rows.where("kind in ('object', 'trailer')")
-    latest = F.max("revision").over(Window.partitionBy("path", "kind", "num"))
-    o = o.withColumn("storage", F.when((F.col("kind") == "object") & (F.col("revision") < latest), "superseded").otherwise("live"))
+    o = rows.where("kind in ('object', 'trailer', 'freed')")
+    w = Window.partitionBy("path", "kind2", "num").orderBy("revision")
+    o = o.withColumn("kind2", F.when(F.col("kind") == "trailer", F.concat(F.lit("t"), F.col("revision").cast("string"))).otherwise("o"))
+    # of equal content one after another the last counts; what is freed or differs later is superseded
+    same = F.xxhash64("kind", "strings", "shown", "stream", F.transform("edges", lambda e: F.concat_ws(" ", e["key"], e["num"], e["gen"])))
+    o = o.withColumn("_same", same).withColumn("_next", F.lead("_same").over(w))
+    last = F.last("_same").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    o = o.withColumn("storage", F.when((F.col("kind") == "object") & (F.col("_same") != last), "superseded").otherwise("live"))
+    o = o.where("kind <> 'freed' and (_next is null or _next <> _same)")
     text = F.array(
         F.struct(F.lit("values").alias("unit"), F.array_join("strings", "").alias("text")),
-        F.struct(F.lit("patterns").alias("unit"), F.array_join("strings", "\n\n").alias("text")),
+        F.struct(F.lit("patterns").alias("unit"), pattern_text(F.col("strings")).alias("text")),
         F.struct(F.lit("shown").alias("unit"), F.array_join("shown", "\n").alias("text")),
     )
     return o.select("path", "revision", "num", "storage", F.inline(F.filter(text, lambda u: u["text"] != "")))

@@ -61,5 +61,9 @@ def finished(stream: DataFrame, folder: str) -> DataFrame:
 
 def shared_folder(spark, name: str) -> str:
     """A new folder below the one that driver and executors share, which the cluster names in ``spark.checkpoint.dir``."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clearveil-")
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="clearveil-")
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
