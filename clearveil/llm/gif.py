@@ -10,6 +10,7 @@ FRAME_ROWS rows, reads the stored bytes back and derives columns from what was r
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -51,108 +52,110 @@ class GifError(ValueError):
     pass
 
 
-def lzw_codes(data: bytes, least: int) -> tuple[list[int], list[int]]:
+@functools.lru_cache(maxsize=None)
+def _widths(least: int) -> np.ndarray:
+    """Bits of the codes after a clear code, up to where the table is full; all later ones have 12.
+
+    Every code but the first adds an entry, so a code's width follows from its place alone.
+    """
+    full = [(1 << least) + 2 + i for i in range(_MAX_CODES - (1 << least) - 1)]
+    return np.array([least + 1] + [min(12, n.bit_length()) for n in full], np.int64)
+
+
+_BYTES = [bytes([i]) for i in range(256)]
+
+
+def lzw_codes(data: bytes, least: int) -> tuple[list[int], np.ndarray]:
     """Codes and their widths, with the clear code first and the end code last."""
     clear, end = 1 << least, (1 << least) + 1
-    codes, widths = [clear], [least + 1]
+    codes = [clear]
     table: dict[int, int] = {}
-    get = table.get
-    put, wide = codes.append, widths.append
-    fresh, width, limit = end + 1, least + 1, 1 << (least + 1)
+    get, put = table.get, codes.append
+    fresh = end + 1
     it = iter(data)
     prefix = next(it, None)
-    if prefix is None:
-        return [clear, end], [least + 1] * 2
-    for b in it:
-        key = (prefix << 8) | b
-        code = get(key)
-        if code is not None:
-            prefix = code
-            continue
+    if prefix is not None:
+        for b in it:
+            key = (prefix << 8) | b
+            code = get(key)
+            if code is not None:
+                prefix = code
+                continue
+            put(prefix)
+            prefix = b
+            if fresh < _MAX_CODES:
+                table[key] = fresh
+                fresh += 1
+            else:
+                put(clear)
+                table.clear()
+                fresh = end + 1
         put(prefix)
-        wide(width)
-        prefix = b
-        if fresh < _MAX_CODES:
-            table[key] = fresh
-            if fresh == limit:
-                width += 1
-                limit <<= 1
-            fresh += 1
-        else:
-            put(clear)
-            wide(width)
-            table.clear()
-            fresh, width, limit = end + 1, least + 1, 1 << (least + 1)
-    put(prefix)
-    wide(width)
-    # the reader adds an entry for the last code too, and may then read a wider end code
     put(end)
-    wide(width + 1 if fresh == limit and fresh < _MAX_CODES else width)
-    return codes, widths
+    # each stretch that ends with a clear code fills the table and has the same number of codes
+    widths = _widths(least)
+    return codes, np.concatenate([widths[:1], np.resize(widths, len(codes) - 1)])
 
 
-def pack_codes(codes: list[int], widths: list[int]) -> bytes:
+def pack_codes(codes: list[int], widths: np.ndarray) -> bytes:
     """Least significant bit first."""
-    c, w = np.array(codes, np.int64), np.array(widths, np.int64)
-    at = np.cumsum(w) - w
-    bits = np.zeros(int(w.sum()), np.uint8)
-    for i in range(int(w.max())):
-        has = w > i
-        bits[at[has] + i] = (c[has] >> i) & 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    bits = np.unpackbits(np.array(codes, "<u2").view(np.uint8), bitorder="little").reshape(-1, 16)
+    return np.packbits(bits[np.arange(16) < np.asarray(widths)[:, None]], bitorder="little").tobytes()
 
 
 def lzw_decode(data: bytes, least: int, expected: int) -> bytes:
     """Samples of one code stream; GifError if it is broken or ends early."""
-    if not 1 <= least <= 11:
+    if not 1 <= least <= 8:
         raise GifError("code size")
     clear, end = 1 << least, (1 << least) + 1
-    roots = [bytes([i]) if i < 256 else b"" for i in range(clear)] + [b"", b""]
-    table = list(roots)
-    width, mask, limit = least + 1, (1 << (least + 1)) - 1, 1 << (least + 1)
+    roots = _BYTES[:clear] + [b"", b""]
+    widths, room = _widths(least), _MAX_CODES - len(roots)
+    raw = np.frombuffer(data + b"\0\0", np.uint8).astype(np.int64)
+    held = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16  # the 24 bits from each byte on
+    table, before = list(roots), b""
     out: list[bytes] = []
-    put, add = out.append, table.append
-    before = b""
-    size = len(table)
-    held = bits = 0
-    # bytes are taken into the bit buffer many at a time
-    for lo in range(0, len(data), 48):
-        part = data[lo : lo + 48]
-        held |= int.from_bytes(part, "little") << bits
-        bits += 8 * len(part)
-        while bits >= width:
-            code = held & mask
-            held >>= width
-            bits -= width
-            if code < size and code != clear and code != end:
+    put = out.append
+    at, total, seen = 0, 8 * len(data), 0  # bits read, bits there, codes since the table was cleared
+    while True:
+        # all codes that may follow, read at once by their widths, up to the first clear or end code
+        w = widths if not seen else np.full(_MAX_CODES, 12)
+        ends = at + np.cumsum(w)
+        n = int(np.searchsorted(ends, total, "right"))
+        if not n:
+            break
+        starts = ends[:n] - w[:n]
+        codes = held[starts >> 3] >> (starts & 7) & ((1 << w[:n]) - 1)
+        stop = np.flatnonzero((codes == clear) | (codes == end))
+        read = codes[: stop[0]].tolist() if len(stop) else codes.tolist()
+        grow = max(0, room + 1 - seen)  # that many codes, the first with them, find the table not full
+        if read and not seen:
+            if read[0] >= clear:
+                raise GifError("code beyond the table")
+            before = table[read[0]]
+            put(before)
+        add = table.append
+        for code in read[not seen : grow]:
+            try:
                 entry = table[code]
-                if before and size < _MAX_CODES:
-                    add(before + entry[:1])
-                    size += 1
-            elif code == clear:
-                table = list(roots)
-                add = table.append
-                size = len(table)
-                width, mask, limit = least + 1, (1 << (least + 1)) - 1, 1 << (least + 1)
-                before = b""
-                continue
-            elif code == end:
-                got = b"".join(out)
-                if len(got) < expected:
-                    raise GifError("too few samples")
-                return got[:expected]
-            elif code == size and before and size < _MAX_CODES:
+            except IndexError:
+                if code != len(table):
+                    raise GifError("code beyond the table") from None
                 entry = before + before[:1]
-                add(entry)
-                size += 1
-            else:
-                raise GifError("code beyond the table")
+            add(before + entry[:1])
             put(entry)
             before = entry
-            if size == limit and size < _MAX_CODES:
-                width += 1
-                mask = (1 << width) - 1
-                limit <<= 1
+        out += [table[code] for code in read[max(grow, not seen) :]]
+        seen += len(read)
+        if not len(stop):
+            at = int(ends[n - 1])
+            continue
+        at = int(ends[stop[0]])
+        if codes[stop[0]] == end:
+            got = b"".join(out)
+            if len(got) < expected:
+                raise GifError("too few samples")
+            return got[:expected]
+        table, before, seen = list(roots), b"", 0
     got = b"".join(out)
     if len(got) < expected:
         raise GifError("no end code")
@@ -252,6 +255,12 @@ def _decode(data: bytes) -> Gif:
 
 def composed(gif: Gif) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each frame: start in hundredths of a second, RGB canvas, and where the canvas is opaque."""
+    for time, rgb, drawn in _canvases(gif):
+        yield time, rgb.copy(), drawn.copy()
+
+
+def _canvases(gif: Gif) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """As ``composed``, but the canvas is the one that the next frame is drawn on."""
     rgb = np.zeros((gif.height, gif.width, 3), np.uint8)
     drawn = np.zeros((gif.height, gif.width), bool)
     time = 0
@@ -260,11 +269,15 @@ def composed(gif: Gif) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         h = max(0, min(f.indices.shape[0], gif.height - f.top))
         w = max(0, min(f.indices.shape[1], gif.width - f.left))
         part = f.indices[:h, :w]
-        show = np.ones(part.shape, bool) if f.transparent is None else part != f.transparent
         box = np.s_[f.top : f.top + h, f.left : f.left + w]
-        rgb[box][show] = f.palette[np.minimum(part, len(f.palette) - 1)][show]
-        drawn[box] |= show
-        yield time, rgb.copy(), drawn.copy()
+        colours = np.take(f.palette, part, axis=0, mode="clip")
+        if f.transparent is None:
+            rgb[box], drawn[box] = colours, True
+        else:
+            show = part != f.transparent
+            rgb[box][show] = colours[show]
+            drawn[box] |= show
+        yield time, rgb, drawn
         time += f.delay
         if f.disposal == 2:
             rgb[box], drawn[box] = 0, False
@@ -290,8 +303,9 @@ def restore(gif: Gif) -> bytes:
 def timed(gif: Gif, bins: int = BINS) -> Iterator[tuple[int, int, np.ndarray]]:
     """Start, delay (hundredths of a second) and histogram (pixels in bins of the first channel) of
     each frame as it is shown: what the frame leaves of those before counts, what nothing has drawn does not."""
-    for f, (start, rgb, drawn) in zip(gif.frames, composed(gif), strict=True):
-        yield start, f.delay, np.bincount(rgb[..., 0][drawn], minlength=256).reshape(bins, -1).sum(axis=1)
+    for f, (start, rgb, drawn) in zip(gif.frames, _canvases(gif), strict=True):
+        first = rgb[..., 0]
+        yield start, f.delay, np.bincount(first.ravel() if drawn.all() else first[drawn], minlength=256).reshape(bins, -1).sum(axis=1)
 
 
 def feature(gif: Gif, bins: int = BINS) -> str:

@@ -593,3 +593,22 @@ def test_gif_frames():
     for n in (0, 1, 4095, 70000):
         data = r.integers(0, 3, n).astype(np.uint8).tobytes()
         assert gif.lzw_decode(gif.pack_codes(*gif.lzw_codes(data, 2)), 2, n) == data
+
+
+def test_lzw_full_table_without_clear():
+    """A writer may go on with 12 bits a code when the table is full; codes past the last entry are refused."""
+    r = np.random.default_rng(3)
+    data = r.integers(0, 256, 9000, dtype=np.uint8).tobytes()
+    codes, widths = gif.lzw_codes(data, 8)
+    full = codes.index(256, 1)
+    head = gif.lzw_decode(gif.pack_codes([*codes[:full], 257], [*widths[:full], 12]), 8, full - 1)
+    tail = r.integers(0, 256, 10000, dtype=np.uint8).tobytes()
+    media = gif.pack_codes([*codes[:full], *tail, 4095, 257], [*widths[:full], *[12] * (len(tail) + 2)])
+    got = gif.lzw_decode(media, 8, full - 1 + len(tail))
+    assert got.startswith(head) and data.startswith(head)
+    whole = gif.lzw_decode(gif.pack_codes([*codes[:full], 257], [*widths[:full], 12]), 8, len(head))
+    assert whole == head and tail[:5000] in got
+    with pytest.raises(gif.GifError):
+        gif.lzw_decode(gif.pack_codes([256, 7, 300, 257], [9, 9, 9, 9]), 8, 1)
+    with pytest.raises(gif.GifError):
+        gif.lzw_decode(b"\0" * 9, 9, 1)
