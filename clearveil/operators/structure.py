@@ -51,21 +51,37 @@ def tiling(claims: DataFrame, doc: str, owner: str, start: str, end: str) -> Dat
     """Elementary pieces of claimed ranges [start, end): (doc, start, end, kind, owners).
 
     Neighbouring pieces are one region if both are contested, both unclaimed, or owned by the same
-    one; ``owners`` counts the distinct claimants of the region.  A document's pieces meet its own
-    claims alone, by an equi-join on the document with the range as its filter.
+    one; ``owners`` counts the distinct claimants of the region.  A null owner claims nothing, empty
+    ranges and null documents have no piece.
+
+    Claims are not joined: an owner's ranges that touch are one, which begins and ends at an event;
+    along a document's events a running sum tells how many owners there are, and the running sum of
+    their numbers tells which one if there is one.  All is sorted within one dealing by document.
     """
-    c = claims.select(F.col(doc).alias("_doc"), F.col(owner).alias("_owner"), F.col(start).alias("_s"), F.col(end).alias("_e")).where("_s < _e")
-    points = c.select("_doc", F.col("_s").alias("_at")).union(c.select("_doc", "_e")).distinct()
-    pieces = points.withColumn("_to", F.lead("_at").over(Window.partitionBy("_doc").orderBy("_at"))).where("_to is not null")
-    held = pieces.join(c, "_doc", "left").where("_s <= _at and _to <= _e").groupBy("_doc", "_at", "_to").agg(F.collect_set("_owner").alias("_o"))
-    all_ = pieces.join(held, ["_doc", "_at", "_to"], "left").withColumn("_o", F.coalesce("_o", F.array().cast(held.schema["_o"].dataType)))
-    kind = F.when(F.size("_o") == 0, "gap").when(F.size("_o") == 1, "owned").otherwise("contested")
-    tag = F.when(F.size("_o") == 1, F.concat(F.lit("o"), F.get("_o", F.lit(0)).cast("string"))).otherwise(kind)
+    c = claims.select(F.col(doc).alias("_doc"), F.col(owner).alias("_owner"), F.col(start).alias("_s"), F.col(end).alias("_e")).where("_doc is not null and _s < _e")
+    same = Window.partitionBy("_doc", "_owner").orderBy("_s", "_e")
+    c = c.withColumn("_id", F.dense_rank().over(Window.partitionBy("_doc").orderBy("_owner")).cast("long"))
+    c = c.withColumn("_before", F.max("_e").over(same.rowsBetween(Window.unboundedPreceding, -1)))
+    c = c.withColumn("_next", F.lead("_s").over(same)).withColumn("_far", F.greatest("_e", "_before"))
+    begins = F.col("_before").isNull() | (F.col("_s") > F.col("_before"))
+    ends = F.col("_next").isNull() | (F.col("_next") > F.col("_far"))
+    counts = F.col("_owner").isNotNull().cast("long")
+    both = F.array(F.when(begins, F.struct(F.col("_s").alias("at"), counts.alias("by"))), F.when(ends, F.struct(F.col("_far").alias("at"), (-counts).alias("by"))))
+    events = c.select("_doc", "_id", F.explode(F.array_compact(both)).alias("_x")).select("_doc", "_id", F.col("_x.at").alias("_at"), F.col("_x.by").alias("_by"))
+    came, went = (F.collect_set(F.when(F.col("_by") == x, F.col("_id"))).alias(n) for x, n in ((1, "_came"), (-1, "_went")))
+    points = events.groupBy("_doc", "_at").agg(F.sum("_by").alias("_by"), F.sum(F.col("_by") * F.col("_id")).alias("_ids"), came, went)
     w = Window.partitionBy("_doc").orderBy("_at")
-    marked = all_.select("_doc", "_at", "_to", "_o", kind.alias("_k"), tag.alias("_t"))
-    marked = marked.withColumn("_new", (~F.col("_t").eqNullSafe(F.lag("_t").over(w))).cast("int")).withColumn("_r", F.sum("_new").over(w))
-    out = marked.groupBy("_doc", "_r").agg(F.min("_at").alias("start"), F.max("_to").alias("end"), F.first("_k").alias("kind"), F.size(F.array_distinct(F.flatten(F.collect_list("_o")))).cast("long").alias("owners"))
-    return out.select(F.col("_doc").alias(doc), "start", "end", "kind", "owners")
+    p = points.select("_doc", "_at", "_came", "_went", F.lead("_at").over(w).alias("_to"), F.sum("_by").over(w).alias("_n"), F.sum("_ids").over(w).alias("_sum"))
+    kind = F.when(F.col("_n") == 0, "gap").when(F.col("_n") == 1, "owned").otherwise("contested")
+    tag = F.struct(kind, F.when(F.col("_n") == 1, F.col("_sum")))
+    sole = F.when(F.lag("_n").over(w) == 1, F.lag("_sum").over(w))  # owned the piece before, and perhaps this one
+    stays = F.when(sole.isNotNull() & ~F.array_contains("_went", sole), F.array(sole)).otherwise(F.array().cast("array<bigint>"))
+    p = p.select("_doc", "_at", "_to", kind.alias("_k"), tag.alias("_t"), F.concat("_came", stays).alias("_o"))
+    p = p.withColumn("_new", (~F.col("_t").eqNullSafe(F.lag("_t").over(w))).cast("int")).withColumn("_r", F.sum("_new").over(w)).where("_to is not null")
+    claimants = F.size(F.array_distinct(F.flatten(F.collect_list("_o")))).cast("long")
+    out = p.groupBy("_doc", "_r").agg(F.min("_at").alias("start"), F.max("_to").alias("end"), F.min("_k").alias("kind"), claimants.alias("_all"))
+    owners = F.when(F.col("kind") == "gap", 0).when(F.col("kind") == "owned", 1).otherwise(F.col("_all")).cast("long")
+    return out.select(F.col("_doc").alias(doc), "start", "end", "kind", owners.alias("owners"))
 
 
 def resolved(edges: DataFrame, objects: DataFrame, doc: str) -> DataFrame:

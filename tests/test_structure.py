@@ -8,7 +8,8 @@ from clearveil.operators import structure as st
 
 def test_tiling_equals_a_byte_map(spark):
     r = random.Random(5)
-    claims = [(d, o, s, s + r.randrange(0, 9)) for d in range(20) for o in range(6) for s in [r.randrange(30)]]
+    claims = [(d, o, s, s + r.randrange(0, 9)) for d in range(20) for o in range(6) for s in [r.randrange(30) for _ in range(1 + d % 3)]]
+    claims += claims[:9]  # an owner may claim a range twice, or ranges that overlap or touch
     got = st.tiling(spark.createDataFrame(claims, "d long, o long, s long, e long"), "d", "o", "s", "e").collect()
     for d in range(20):
         own = [{o for x, o, s, e in claims if x == d and s <= b < e} for b in range(45)]
@@ -17,6 +18,16 @@ def test_tiling_equals_a_byte_map(spark):
             assert all(("gap" if not own[b] else "owned" if len(own[b]) == 1 else "contested") == kind for b in range(start, end))
             assert len(set().union(*own[start:end])) == owners
         assert all(a[1] == b[0] and (a[2] != b[2] or a[2] == "owned") for a, b in zip(rows, rows[1:]))
+        assert all(own[a[0]] != own[b[0]] for a, b in zip(rows, rows[1:]) if a[2] == b[2])
+        assert (rows[0][0], rows[-1][1]) == (min(b for b in range(45) if own[b]), max(b + 1 for b in range(45) if own[b]))
+
+
+def test_tiling_of_nulls_and_nothing(spark):
+    claims = [("a", None, 0, 4), ("a", "x", 2, 6), ("a", "y", 6, 6), (None, "x", 0, 3), ("b", "y", 1, 3), ("b", "y", 3, 5)]
+    df = spark.createDataFrame(claims, "d string, o string, s int, e int")
+    want = [("a", 0, 2, "gap", 0), ("a", 2, 6, "owned", 1), ("b", 1, 5, "owned", 1)]
+    assert sorted(map(tuple, st.tiling(df, "d", "o", "s", "e").collect())) == want
+    assert st.tiling(df.limit(0), "d", "o", "s", "e").count() == 0
 
 
 def test_closure_with_cycles(spark):
