@@ -130,3 +130,14 @@ def test_objects_freed_and_written_again(spark):
     units = {(r["num"], r["storage"], r["unit"]): r["text"] for r in pdf_file.units(pdf_file.objects(files)).where("num is not null").collect()}
     assert units[(5, "superseded", "values")] == "note of 1" and units[(6, "live", "shown")] == "part" and (6, "superseded", "shown") not in units
     assert units[(4, "superseded", "patterns")] == "name" and units[(4, "live", "values")] == "name again"
+
+
+def test_class_samples_hide_by_what_they_show(spark, tmp_path):
+    mails = ["une.92@mail6.example.com", "rue.46@mail.example.com", "x.y@host.edu", "a@b.at", "a@c.be"]
+    docs = [(i, t, "fr", "s") for i, t in enumerate(["write to " + m + ", soon" for m in mails] + ["call 212-555-0123", "call 212-555-0178", None])]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["sample"] for r in checks.masked_samples(spark, str(tmp_path)).collect()}
+    assert got == {0: "****.com", 1: "****.com", 2: "****", 3: "****.at", 4: "****", 5: "****0123", 6: "****0178"}
+    # the operator reads the sample itself: one that holds a listed value shows nothing
+    whole = spark.createDataFrame([(m,) for m in mails], "m string").select(tx.masked(F.col("m"), checks.LISTED)).collect()
+    assert [r[0] for r in whole] == ["****", "****", "****", "****.at", "****"]
